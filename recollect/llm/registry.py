@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, media
+from . import chat, media, mixing
 
 QUERIES = {
+    "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op8_media_columns": media.op8_media_columns,
 }
