@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing
+from . import chat, media, mixing, secrets
 
 QUERIES = {
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op8_media_columns": media.op8_media_columns,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLES = {
     "op4_chat_formatting": chat.OP4_SQL,
