@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, secrets
+from . import chat, lines, media, mixing, secrets, token_files
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op7_token_counts": token_files.op7_token_counts,
     "op8_media_columns": media.op8_media_columns,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLES = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
 }
