@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, media, mixing, secrets, token_files
+from . import chat, lines, media, mixing, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_token_counts": token_files.op7_token_counts,
     "op8_media_columns": media.op8_media_columns,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
