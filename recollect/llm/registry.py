@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, lines, media, mixing, secrets, token_files, toxicity
+from . import chat, contamination, lines, media, mixing, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op6_benchmark_decontamination": contamination.op6_benchmark_decontamination,
     "op7_token_counts": token_files.op7_token_counts,
     "op8_media_columns": media.op8_media_columns,
     "op9_secret_scans": secrets.op9_secret_scans,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
+    "op6_benchmark_decontamination": contamination.OP6_SQL,
 }
