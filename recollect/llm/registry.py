@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, lines, media, mixing, secrets, token_files, toxicity
+from . import chat, contamination, lines, media, mixing, neardup, secrets, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_benchmark_decontamination": contamination.op6_benchmark_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op2_minhash_near_dedup": neardup.OP2_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op6_benchmark_decontamination": contamination.OP6_SQL,
 }
