@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, lines, media, mixing, neardup, secrets, token_files, toxicity
+from . import chat, contamination, lines, media, mixing, neardup, secrets, suffixes, token_files, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_benchmark_decontamination": contamination.op6_benchmark_decontamination,
     "op7_token_counts": token_files.op7_token_counts,
     "op8_media_columns": media.op8_media_columns,
