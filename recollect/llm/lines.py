@@ -35,13 +35,14 @@ def masked_line(line: Column) -> Column:
 
 
 def _n_tokens(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.translate(masked, " ", "")) + 1
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each line with tokens: document, place and masked line."""
     rows = docs.select(F.col(key).alias("_doc"), F.xxhash64(text).alias("_body"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_place", "_line"))
-    return rows.withColumn("_mask", masked_line(F.col("_line"))).where("_mask != ''").drop("_line")
+    # the filter looks at the raw line, so that the masked one is computed once
+    return rows.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]")).withColumn("_mask", masked_line(F.col("_line"))).drop("_line")
 
 
 def _placed(lines: DataFrame, depth: int) -> DataFrame:
@@ -58,19 +59,20 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     seen = scratch.table("seen", seen)
     support = seen.groupBy("_leaf", "_n", "_a", "_b").agg(F.count(F.lit(1)).alias("_docs"))
     support = scratch.table("support", support)
-    # leaves in which something can be generalised
-    several = support.where(F.col("_n") >= min_tokens).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1").select("_leaf")
+    # leaves in which something can be generalised: several forms, and documents enough to hold a token constant
+    several = support.where(F.col("_n") >= min_tokens).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("_docs").alias("_all"))
+    several = several.where((F.col("_kinds") > 1) & (F.col("_all") >= min_docs)).select("_leaf")
     texts = lines.where(F.col("_n") >= min_tokens).join(several, "_leaf", "left_semi").groupBy("_leaf", "_a", "_b").agg(F.first("_mask").alias("_mask"))
     texts = scratch.table("texts", texts.join(support.select("_leaf", "_a", "_b", "_docs"), ["_leaf", "_a", "_b"]))
+    # a token at a place of a leaf is one 64-bit key; only keys that enough documents hold are joined back
     tokens = texts.select("_leaf", "_a", "_b", "_docs", F.posexplode(F.split("_mask", " ")).alias("_at", "_token"))
-    common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_held")).where(F.col("_held") >= min_docs).drop("_held")
-    fixed = tokens.join(common.withColumn("_fixed", F.lit(True)), ["_leaf", "_at", "_token"], "left")
-    shown = F.when(F.col("_fixed"), F.col("_token")).otherwise(FIELD)
-    general = fixed.groupBy("_leaf", "_a", "_b").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", shown.alias("t")))), lambda x: x["t"]), " ").alias("_general"),
-        F.avg(F.when(F.col("_fixed") & (F.col("_token") != FIELD), 1.0).otherwise(0.0)).alias("_share"),
-    )
-    general = general.where(F.col("_share") >= constant).select("_leaf", "_a", "_b", F.xxhash64("_general").alias("_ga"), F.xxhash64(F.lit(7), F.col("_general")).alias("_gb"))
+    keyed = tokens.select("_leaf", "_a", "_b", "_docs", "_at", F.xxhash64("_leaf", "_at", "_token").alias("_key"), F.when(F.col("_token") != FIELD, 1).otherwise(0).alias("_plain"))
+    common = keyed.groupBy("_key").agg(F.sum("_docs").alias("_held")).where(F.col("_held") >= min_docs).select("_key")
+    constants = keyed.join(common, "_key", "left_semi").groupBy("_leaf", "_a", "_b").agg(F.sum("_plain").alias("_fixed"), F.collect_list("_at").alias("_places"))
+    held = texts.select("_leaf", "_a", "_b", "_mask").join(constants, ["_leaf", "_a", "_b"]).withColumn("_tokens", F.split("_mask", " "))
+    held = held.where(F.col("_fixed") / F.size("_tokens") >= constant)
+    shown = F.transform("_tokens", lambda t, i: F.when(F.array_contains("_places", i), t).otherwise(FIELD))
+    general = held.withColumn("_general", F.array_join(shown, " ")).select("_leaf", "_a", "_b", F.xxhash64("_general").alias("_ga"), F.xxhash64(F.lit(7), F.col("_general")).alias("_gb"))
     of = scratch.table("templates", support.join(general, ["_leaf", "_a", "_b"], "left").select(
         "_leaf", "_a", "_b", F.coalesce("_ga", "_a").alias("_ta"), F.coalesce("_gb", "_b").alias("_tb"), "_docs",
     ))

@@ -42,7 +42,7 @@ SAMPLE = 10_000
 PREFIXES, SUPPORT, RATIO, VOTERS = range(4, 11), 8, 4.0, 40
 #: A ratio from which only the number of toxic texts ranks voters, so that a common stem comes before its forms.
 PURE = 10.0
-EM_STEPS, NEWTON_STEPS, RIDGE, THRESHOLD, CORRELATED = 12, 12, 1.0, 0.3, 0.2
+EM_STEPS, NEWTON_STEPS, RIDGE, THRESHOLD, CORRELATED = 12, 30, 1.0, 0.3, 0.2
 WORD = re.compile(r"[^\W\d_]+")
 ELONGATED = re.compile(r"([^\W\d_])\1{3}")
 
@@ -215,25 +215,36 @@ def fit_label_model(model: ToxicityModel, patterns: DataFrame) -> None:
 
 
 def fit_classifier(model: ToxicityModel, patterns: DataFrame) -> None:
-    """Ridge logistic regression on the label model's posteriors, without the labels, by Newton steps."""
+    """Ridge logistic regression on the label model's posteriors, without the labels.
+
+    Newton steps with Levenberg's damping: a step that raises the loss is taken back and damped more.
+    """
     width = model.size() + 2
-    model.weights = np.zeros(width)
-    model.weights[0] = np.log(model.prior / (1 - model.prior))
+    start = np.zeros(width)
+    start[0] = np.log(model.prior / (1 - model.prior))
+    ridge = RIDGE * np.eye(width)
+    ridge[0, 0] = 1e-6
 
     def sums(batch: pd.DataFrame) -> np.ndarray:
         n, bits = batch["n"].to_numpy(np.float64), batch["bits"].to_numpy()
-        x, p, y = model.features(bits), model.score(bits), model.posterior(bits)
-        return np.concatenate([x.T @ (n * (y - p)), (x.T @ (x * (n * p * (1 - p))[:, None])).ravel()])
+        x, p, y = model.features(bits), np.clip(model.score(bits), 1e-13, 1 - 1e-13), model.posterior(bits)
+        loss = -(n * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+        return np.concatenate([[loss], x.T @ (n * (y - p)), (x.T @ (x * (n * p * (1 - p))[:, None])).ravel()])
 
+    model.weights, damping, best, kept, found = start, 1.0, np.inf, start, None
     for _ in range(NEWTON_STEPS):
-        found = _sum_over(patterns, sums, width + width * width)
-        ridge = RIDGE * np.eye(width)
-        ridge[0, 0] = 1e-6
-        step = np.linalg.solve(found[width:].reshape(width, width) + ridge, found[:width] - ridge @ model.weights)
-        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        model.weights = model.weights + step
-        if np.abs(step).max() < 1e-3:
-            break
+        now = _sum_over(patterns, sums, 1 + width + width * width)
+        loss = now[0] + 0.5 * model.weights @ ridge @ model.weights
+        if loss <= best:
+            settled = best - loss < 1e-7 * max(loss, 1.0)
+            best, kept, found, damping = loss, model.weights, now, damping / 8
+            if settled:
+                break
+        else:
+            damping *= 16
+        curved = found[1 + width :].reshape(width, width) + ridge
+        model.weights = kept + np.linalg.solve(curved + damping * np.diag(np.diag(curved)), found[1 : 1 + width] - ridge @ kept)
+    model.weights = kept
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[DataFrame, ToxicityModel]:
