@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
-from ..operators import layers, resolve, scoring
+from ..operators import layers, memory, resolve, scoring
 from ..schema import messages, table
 
 QUERIES: dict = {}
@@ -426,3 +426,50 @@ def json_lines_report(spark, folder):
 def events_tumbling(spark, folder):
     rows = table(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return rows.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@query("SELECT conv_id AS session_no, count(*) AS n_uncovered FROM conversations WHERE turn % 4 = 3 GROUP BY conv_id")
+def repair_worklist(spark, folder):
+    rows = messages(spark, folder)
+    return memory.uncovered(rows, rows.where((F.col("msg_no") - 1) % 4 != 3), "session_no", "id")
+
+
+def _asked(spark, folder) -> tuple[DataFrame, DataFrame]:
+    questions = table(spark, folder, "benchmark").select("item_id", "text")
+    atoms = table(spark, folder, "documents").select(F.format_string("doc_%d", "doc_id").alias("id"), "text", F.lit(1.5).cast("double").alias("weight"))
+    return questions, atoms.unionByName(messages(spark, folder).select("id", "text", F.lit(1.0).cast("double").alias("weight")))
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, unnest({sql_tokens("text")}) AS t FROM benchmark),
+r AS (SELECT 'doc_' || doc_id AS id, text, 1.5 AS weight FROM documents UNION ALL SELECT 'session_' || conv_id || '_' || (turn + 1), text, 1.0 FROM conversations),
+h AS (SELECT id, weight, unnest({sql_tokens("text")}) AS t FROM r),
+i AS (SELECT t, ln((SELECT count(*) FROM r) / count(*)) AS idf FROM h GROUP BY t),
+s AS (SELECT item_id, id, round(sum(idf) * any_value(weight), 6) AS score FROM q JOIN i USING (t) JOIN h USING (t) GROUP BY item_id, id)
+SELECT item_id, id, score, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 5"""
+)
+def retrieve_evidence(spark, folder):
+    return memory.retrieve(*_asked(spark, folder), 5, "item_id", "id", "text", "weight")
+
+
+@query()
+def message_chunking(spark, folder):
+    return memory.cut_messages(messages(spark, folder), "id", "text", 120, 30).select("id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("md5"))
+
+
+@query()
+def session_packing(spark, folder):
+    return memory.pack_sessions(messages(spark, folder), "session_no", "msg_no", "text", 600)
+
+
+@query(
+    """WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents WHERE lang = 'en'),
+w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(sentence, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> '')[2:]) AS word FROM s),
+e AS (SELECT DISTINCT doc_id, lower(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g')) AS entity FROM w WHERE regexp_full_match(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g'), '[A-Z][a-zA-Z]{2,}')),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS entity FROM conversations)
+SELECT doc_id, entity FROM e WHERE entity NOT IN (SELECT entity FROM v)"""
+)
+def entity_audit(spark, folder):
+    facts = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
+    words = table(spark, folder, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return memory.unsupported_entities(facts, facts.select("doc_id", F.lit("").alias("source_text")), words, "doc_id", "text")
