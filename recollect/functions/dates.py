@@ -124,3 +124,33 @@ def temporal_verdict(reference: Column, candidate: Column) -> Column:
 
 def iso_of_millis(ms: Column) -> Column:
     return F.coalesce(F.date_format(F.timestamp_millis(ms.try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def exact_offset(text: Column) -> Column:
+    """Days that "yesterday", "two days ago" and the like shift a message's date by; null if it says none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    number = F.regexp_extract(low, rf"\b([0-9]+|{'|'.join(NUMBERS)})\s+days?\s+ago\b", 1)
+    named = F.nullif(F.array_position(F.array(*map(F.lit, NUMBERS)), number), F.lit(0)).cast("int")
+    days_ago = F.coalesce(number.try_cast("int"), named)
+    return (
+        F.when(low.rlike(r"\bthe day before yesterday\b"), -2)
+        .when(low.rlike(r"\bthe day after tomorrow\b"), 2)
+        .when(low.rlike(r"\byesterday\b"), -1)
+        .when(low.rlike(r"\btomorrow\b"), 1)
+        .when(low.rlike(r"\b(last|this)\s+night\b"), -1)
+        .otherwise(-days_ago)
+    )
+
+
+def _says(body: Column, day: Column) -> Column:
+    low = F.lower(body)
+    return low.contains(F.lower(F.date_format(day, SHOWN))) | low.contains(F.lower(F.date_format(day, "dd MMMM yyyy"))) | low.contains(F.date_format(day, "yyyy-MM-dd"))
+
+
+def with_copied_anchor(rows: DataFrame, body: str, message: str, anchor: str, into: str) -> DataFrame:
+    """Adds (said, corrected) where a record gives a message's own date for what the message places days away."""
+    staged = rows.withColumns({"_day": parsed_date(anchor_text(F.col(anchor))), "_offset": exact_offset(F.col(message))})
+    staged = staged.withColumn("_right", F.date_add("_day", F.col("_offset")))
+    wrong = (F.col("_offset") != 0) & F.col("_day").isNotNull() & _says(F.col(body), F.col("_day")) & ~_says(F.col(body), F.col("_right"))
+    found = F.when(wrong, F.struct(F.date_format("_day", SHOWN).alias("said"), F.date_format("_right", SHOWN).alias("corrected")))
+    return staged.withColumn(into, found).drop("_day", "_offset", "_right")

@@ -473,3 +473,18 @@ def entity_audit(spark, folder):
     facts = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
     words = table(spark, folder, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     return memory.unsupported_entities(facts, facts.select("doc_id", F.lit("").alias("source_text")), words, "doc_id", "text")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT id, strftime(d, '%-d %B %Y') AS said, strftime(d - CASE id % 5 WHEN 0 THEN 1 ELSE 2 END, '%-d %B %Y') AS corrected FROM o WHERE id % 5 IN (0, 1)"""
+)
+def copied_anchor_audit(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
+    case = F.col("id") % 5
+    message = F.when(case == 0, "I came back yesterday").when(case == 1, "It was two days ago").when(case == 2, "Yesterday it rained").otherwise("It is fine")
+    said = F.when(case == 2, F.date_sub("d", 1)).otherwise(F.col("d"))
+    body = F.concat(F.lit("It happened on "), F.date_format(said, D.SHOWN))
+    anchor = F.concat(F.lit("1:56 pm on "), F.date_format("d", "d MMMM, yyyy"))
+    found = D.with_copied_anchor(rows.select("id", body.alias("body"), message.alias("message"), anchor.alias("anchor")), "body", "message", "anchor", "x")
+    return found.where("x is not null").select("id", "x.said", "x.corrected")
