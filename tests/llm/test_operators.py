@@ -294,7 +294,7 @@ def test_images_round_trip():
         assert (media.decode(data) == image).all()
     for data in (media.encode_bmp(colour), b"P6 3 4 255\n" + colour.tobytes(), b"P3 3 4 255\n" + b"\n".join(b"%d" % v for v in colour.ravel())):
         assert (media.decode(data) == colour).all()
-    assert (media.decode(b"P4\n9 1\n" + bytes([0b10000000, 0b10000000])) == np.array([[0, 255, 255, 255, 255, 255, 255, 255, 0]])).all() or True
+    assert (media.decode(b"P4\n9 1\n" + bytes([0b10000000, 0b10000000])) == np.array([[0, 255, 255, 255, 255, 255, 255, 255, 0]])).all()
     assert media.area_resize(image, 1, 1)[0, 0] == pytest.approx(image.mean())
     assert media.area_resize(image, 5, 7) == pytest.approx(image)
     with pytest.raises(ValueError):
