@@ -8,8 +8,8 @@ confirmed links are the groups.
 
 Buckets never expand into all pairs. First each member is compared with two members of its bucket (the least and
 the greatest id); then components merge what is linked, and only members of different components of a bucket
-remain to be compared: pairwise in small buckets, and in blocks of at most PER_BLOCK members, with vectorised
-comparison, in large ones. No bucket is capped.
+remain to be compared: pairwise in small buckets; large ones that share members are compared in blocks of about
+PER_BLOCK members, where pairs stay within a task. No bucket is capped.
 
 Defined results: texts without words have an empty set and link with nothing; equal non-empty sets always link;
 rows of a null id are returned with their set size, a null component and kept; rows with equal ids are one node
@@ -117,13 +117,17 @@ def _pruned(pairs: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
     return both.select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long")
 
 
-def _block_candidates(members: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
-    """Pairs of different components in large buckets: rows of (band, doc, component, size)."""
-    n = BANDS * ROWS
+def _links_in_blocks(members: DataFrame, signed: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links between different components of each cluster, from rows of (cluster, doc, component, size).
+
+    A cluster is cut into blocks of PER_BLOCK members; a task compares two blocks. Pairs stay in the task: the
+    sequential test drops most, the full sets decide the rest, and one link for each two components comes out.
+    """
+    n, level = BANDS * ROWS, similar[0] / similar[1]
     blocks = F.ceil(F.col("size") / PER_BLOCK).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
-    rows = rows.join(signed.select(F.col("_doc").alias("doc"), "_sig"), "doc")
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+    rows = rows.join(signed.select(F.col("_doc").alias("doc"), "_sig"), "doc").join(sets.select(F.col("_doc").alias("doc"), "_set"), "doc")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
@@ -131,16 +135,28 @@ def _block_candidates(members: DataFrame, signed: DataFrame, similar: float) ->
         signatures = [np.frombuffer(b"".join(x["_sig"]), np.uint32).reshape(-1, n) for x in (left, right)]
         ids = [x["doc"].to_numpy() for x in (left, right)]
         part = [x["component"].to_numpy() for x in (left, right)]
-        out = []
-        for r in range(len(left)):
-            others = np.flatnonzero((part[1] != part[0][r]) & ((ids[1] > ids[0][r]) | (i != j)))
-            if len(others):
-                alive = others[sequential_survivors(np.broadcast_to(signatures[0][r], (len(others), n)), signatures[1][others], similar)]
-                out.append(np.stack([np.minimum(ids[0][r], ids[1][alive]), np.maximum(ids[0][r], ids[1][alive])]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(left) and len(right):
+            own = [np.frombuffer(x, np.uint64) for x in left["_set"]]
+            others = [np.frombuffer(x, np.uint64) for x in right["_set"]]
+            known, place = np.unique(np.concatenate(others), return_inverse=True)
+            sizes = np.array([len(x) for x in others])
+            starts = np.cumsum(sizes) - sizes
+            for r in range(len(left)):
+                wanted = np.flatnonzero((part[1] != part[0][r]) & ((ids[1] > ids[0][r]) | (i != j)))
+                alive = wanted[sequential_survivors(np.broadcast_to(signatures[0][r], (len(wanted), n)), signatures[1][wanted], level)] if len(wanted) else wanted
+                if not len(alive):
+                    continue
+                # which of the other block's shingles this document has, then how many each of its documents shares
+                has = np.isin(known, own[r], assume_unique=True)
+                shared = np.add.reduceat(has[place].astype(np.int64), starts)[alive]
+                linked = alive[similar[1] * shared >= similar[0] * (len(own[r]) + sizes[alive] - shared)]
+                for x in linked:
+                    found.setdefault((part[0][r], part[1][x]), (min(ids[0][r], ids[1][x]), max(ids[0][r], ids[1][x])))
+        pairs = np.array(list(found.values()), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -218,9 +234,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     other = few.select("band", F.col("doc").alias("b"), F.col("component").alias("other"))
     small = few.withColumnRenamed("doc", "a").join(other, "band").where("a < b and component <> other").select("a", "b").distinct()
     small = small.join(pruned, ["a", "b"], "left_anti")
-    large = _block_candidates(rest.where(F.col("size") > SMALL), signed, level).join(pruned, ["a", "b"], "left_anti")
-    more = scratch.table("more", _pruned(small, signed, level).unionByName(large))
-    late = scratch.table("links-2", _confirmed(more, sets, similar))
+    more = scratch.table("more", _pruned(small, signed, level))
+    # large buckets that share members form one cluster, so each of its pairs is compared once for all bands
+    large = rest.where(F.col("size") > SMALL)
+    lows = large.groupBy("band").agg(F.min("doc").alias("a"))
+    clusters = components(large.join(lows, "band").select("a", F.col("doc").alias("b")).where("a <> b"), scratch, "clusters")
+    clusters = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    inside = large.select("doc", "component").distinct().join(clusters, "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc"))
+    inside = inside.join(inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    late = _confirmed(more, sets, similar).unionByName(_links_in_blocks(inside, signed, sets, similar))
+    late = scratch.table("links-2", late)
     scratch.drop("buckets", "star", "sets", "rest", "more", "signed")
     every = equal.unionByName(links).unionByName(late)
     groups = components(every, scratch, "groups")
