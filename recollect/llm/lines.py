@@ -64,12 +64,24 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     several = several.where((F.col("_kinds") > 1) & (F.col("_all") >= min_docs)).select("_leaf")
     texts = lines.where(F.col("_n") >= min_tokens).join(several, "_leaf", "left_semi").groupBy("_leaf", "_a", "_b").agg(F.first("_mask").alias("_mask"))
     texts = scratch.table("texts", texts.join(support.select("_leaf", "_a", "_b", "_docs"), ["_leaf", "_a", "_b"]))
-    # a token at a place of a leaf is one 64-bit key; only keys that enough documents hold are joined back
-    tokens = texts.select("_leaf", "_a", "_b", "_docs", F.posexplode(F.split("_mask", " ")).alias("_at", "_token"))
-    keyed = tokens.select("_leaf", "_a", "_b", "_docs", "_at", F.xxhash64("_leaf", "_at", "_token").alias("_key"), F.when(F.col("_token") != FIELD, 1).otherwise(0).alias("_plain"))
-    common = keyed.groupBy("_key").agg(F.sum("_docs").alias("_held")).where(F.col("_held") >= min_docs).select("_key")
-    constants = keyed.join(common, "_key", "left_semi").groupBy("_leaf", "_a", "_b").agg(F.sum("_plain").alias("_fixed"), F.collect_list("_at").alias("_places"))
-    held = texts.select("_leaf", "_a", "_b", "_mask").join(constants, ["_leaf", "_a", "_b"]).withColumn("_tokens", F.split("_mask", " "))
+    # Lines that share a template differ at the same places, at most (1 - constant) of them, none of which leads the
+    # line. So of one block more than that, one is equal in all of them; lines without such a block keep to themselves.
+    split = texts.withColumn("_tokens", F.split("_mask", " ")).withColumn("_blocks", F.floor(F.size("_tokens") * (1 - constant) + 1e-9).cast("int") + 1)
+    rest = F.size("_tokens") - depth
+    edge = lambda i: (i * rest / F.col("_blocks")).cast("int") + depth + 1
+    block = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.xxhash64("_leaf", i, F.array_join(F.slice("_tokens", edge(i), edge(i + 1) - edge(i)), " ")))
+    blocks = split.where(rest > 0).select("_leaf", "_a", "_docs", F.explode(F.array_distinct(block)).alias("_block"))
+    alike = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_lines"), F.sum("_docs").alias("_all")).where((F.col("_lines") > 1) & (F.col("_all") >= min_docs))
+    alike = scratch.table("alike", blocks.join(alike.select("_block"), "_block", "left_semi").select("_leaf", "_a").distinct())
+    # a token at a place of a leaf is one 64-bit key; all lines of the leaf count, only alike ones are joined back
+    in_leaves = texts.join(alike.select("_leaf").distinct(), "_leaf", "left_semi")
+    key = F.xxhash64("_leaf", "_at", "_token")
+    exploded = lambda rows, *kept: rows.select("_leaf", *kept, F.posexplode(F.split("_mask", " ")).alias("_at", "_token"))
+    common = exploded(in_leaves, "_docs").select(key.alias("_key"), "_docs").groupBy("_key").agg(F.sum("_docs").alias("_held")).where(F.col("_held") >= min_docs).select("_key")
+    own = scratch.table("own", texts.join(alike, ["_leaf", "_a"], "left_semi").select("_leaf", "_a", "_b", "_mask"))
+    keyed = exploded(own, "_a").select("_a", "_at", key.alias("_key"), F.when(F.col("_token") != FIELD, 1).otherwise(0).alias("_plain"), "_leaf")
+    constants = keyed.join(common, "_key", "left_semi").groupBy("_leaf", "_a").agg(F.sum("_plain").alias("_fixed"), F.collect_list("_at").alias("_places"))
+    held = own.join(constants, ["_leaf", "_a"]).withColumn("_tokens", F.split("_mask", " "))
     held = held.where(F.col("_fixed") / F.size("_tokens") >= constant)
     shown = F.transform("_tokens", lambda t, i: F.when(F.array_contains("_places", i), t).otherwise(FIELD))
     general = held.withColumn("_general", F.array_join(shown, " ")).select("_leaf", "_a", "_b", F.xxhash64("_general").alias("_ga"), F.xxhash64(F.lit(7), F.col("_general")).alias("_gb"))
@@ -87,7 +99,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     lost = placed.join(first, ["_leaf", "_ta", "_tb"]).withColumn("_lost", F.when(own, F.array_except("_places", F.array("_first._place"))).otherwise(F.col("_places")))
     lost = lost.where(F.size("_lost") > 0).groupBy("_doc", "_body").agg(F.array_sort(F.flatten(F.collect_list("_lost"))).alias("_dropped"))
     out = scratch.table("lost", lost)
-    scratch.drop("seen", "support", "texts", "templates", "placed")
+    scratch.drop("seen", "support", "texts", "alike", "own", "templates", "placed")
     return out
 
 
