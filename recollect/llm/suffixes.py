@@ -38,8 +38,8 @@ from .shingles import mix, prefix_hash, range_hash
 LENGTH, GRAM = 100, 16
 #: Different texts of one value beyond which further hash functions split it, and how many.
 MANY, SPLITS = 2048, 3
-#: Starts in a run at most, and bytes of text in a bucket about.
-RUN, BUCKET_BYTES = 1 << 16, 4 << 20
+#: Starts in a run at most, and bytes of text in a bucket about: its arrays should fit the processor's cache.
+RUN, BUCKET_BYTES = 1 << 16, 1 << 18
 _TABLE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -258,8 +258,11 @@ def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     runs = scratch.table("runs", _runs(rows))
     values = runs.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("body").alias("low"), F.max("body").alias("high"), F.max("periodic").alias("periodic"), F.min(place).alias("lead"))
     several = values.where("c > 1 or periodic").select("value", F.expr("low <> high or periodic").alias("mixed"), "lead")
+    # written first, so that the shuffle behind it is gone when that of the join is made
+    several = scratch.table("several", several)
+    scratch.drop()
     shared = scratch.table("shared", runs.drop("periodic").join(several, "value"))
-    scratch.drop("runs")
+    scratch.drop("runs", "several")
     later = ~F.struct("_doc", "_h", "_at").eqNullSafe(F.col("lead"))
     copies = shared.where(~F.col("mixed") & later).select("_doc", "_h", "_at", "_starts")
     mixed = shared.where("mixed").drop("lead", "mixed")
