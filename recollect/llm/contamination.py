@@ -8,6 +8,10 @@ for the smallest blocks; those of larger blocks and of windows are minima of min
 several windows gets a chance from each; one equal minimum makes a candidate. Candidates are verified on the full
 sets of document and item.
 
+Items of fewer than FEW shingles are too small for the windows of the least class and are looked up exactly: a text
+with `share` of an item's n shingles misses at most n less that many, so of any one more it has at least one. Those
+are indexed, and a text that has one of them is a candidate; none is missed.
+
 Only the index of a block of items of bounded size is broadcast; a larger benchmark is searched block by block.
 
 Defined results: a null or empty text, and an item without words, contain nothing and are contained in nothing;
@@ -31,22 +35,30 @@ from .shingles import minhash_family, shingles, words
 
 #: Words in a shingle; share of an item's shingles; hash functions; shingles of the smallest blocks.
 WORDS, SHARE, HASHES, BLOCK = 5, (8, 10), 64, 16
+#: Items of fewer shingles are looked up exactly.
+FEW = BLOCK // 2
 #: Bytes of item texts whose index is broadcast at once.
 INDEX_BYTES = 16 << 20
 
 
 class ItemIndex:
-    """Sets and class-wise minima of a block of items."""
+    """Sets, class-wise minima of a block of items, and shingles of its smallest items."""
 
-    def __init__(self, texts: list[str | None], k: int):
+    def __init__(self, texts: list[str | None], k: int, share: tuple[int, int] = SHARE):
         data, offsets = flat(pa.array(texts, pa.string()))
         values, at = shingles(*words(data, offsets), k)
         self.sets = [np.unique(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         a, b = self.family = minhash_family(HASHES)
         by_class: dict[int, list[int]] = {}
+        keys: list[tuple[int, int]] = []
         for i, own in enumerate(self.sets):
-            if len(own):
+            if 0 < len(own) < FEW:
+                least = max(1, -(-share[0] * len(own) // share[1]))
+                keys.extend((int(v), i) for v in own[: max(1, len(own) - least + 1)])
+            elif len(own):
                 by_class.setdefault(max(0, int(np.ceil(np.log2(len(own) / BLOCK)))), []).append(i)
+        keys.sort()
+        self.few, self.few_items = np.array([v for v, _ in keys], np.uint64), np.array([i for _, i in keys], np.int64)
         self.classes = []
         for level, items in sorted(by_class.items()):
             minima = np.array([[(self.sets[i] * x + y).min() for i in items] for x, y in zip(a, b, strict=True)])
@@ -55,10 +67,11 @@ class ItemIndex:
 
     def candidates(self, values: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) for rows of shingles in order."""
+        found = self._small(values, offsets)
         counts = np.diff(offsets)
         rows = np.flatnonzero(counts)
         if not len(rows) or not self.classes:
-            return set()
+            return found
         per_row = -(-counts[rows] // BLOCK)
         first = np.zeros(len(rows) + 1, np.int64)
         np.cumsum(per_row, out=first[1:])
@@ -70,7 +83,6 @@ class ItemIndex:
             own = np.zeros(len(rows) + 1, np.int64)
             np.cumsum(blocks, out=own[1:])
             layouts[level] = own, np.repeat(np.arange(len(rows)), blocks)
-        found: set[tuple[int, int]] = set()
         for f, (x, y) in enumerate(zip(*self.family, strict=True)):
             minima, level = np.minimum.reduceat(values * x + y, starts), 0
             for want, items, sorted_minima, order in self.classes:
@@ -91,6 +103,20 @@ class ItemIndex:
                         j += 1
         return found
 
+    def _small(self, values: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) for rows that have an indexed shingle of an item of fewer than FEW."""
+        found: set[tuple[int, int]] = set()
+        if not len(self.few):
+            return found
+        low = np.searchsorted(self.few, values)
+        hit = np.flatnonzero(self.few[np.minimum(low, len(self.few) - 1)] == values)
+        for row, first in set(zip((np.searchsorted(offsets, hit, "right") - 1).tolist(), low[hit].tolist(), strict=True)):
+            j = first
+            while j < len(self.few) and self.few[j] == self.few[first]:
+                found.add((row, int(self.few_items[j])))
+                j += 1
+        return found
+
 
 def _with_block(docs: DataFrame, text: str, index, keys: list, key_type: T.DataType, k: int, share, into: str) -> DataFrame:
     source, = fresh(docs, "leak_text")
@@ -128,7 +154,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
     out, parts = docs, []
     for i in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == i).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r["body"] for r in own], k))
+        index = spark.sparkContext.broadcast(ItemIndex([r["body"] for r in own], k, share))
         name, = fresh(out, into)
         out = _with_block(out, text, index, [r["item"] for r in own], benchmark.schema[item_key].dataType, k, share, name)
         parts.append(name)

@@ -258,6 +258,22 @@ def test_leaks_in_blocks_and_empty(spark, monkeypatch):
     assert contamination.leak_pairs(docs_of(spark, texts), bench.where("false")).count() == 0
 
 
+def test_small_items_are_all_found():
+    """Items of 1 to 9 shingles anywhere in a text: those of fewer than 8 are found without exception."""
+    r = np.random.default_rng(4)
+    for n in range(1, 8):
+        items = [" ".join(f"i{n}x{i}y{j}" for j in range(n + 4)) for i in range(300)]
+        index = contamination.ItemIndex(items, 5)
+        texts = []
+        for i, item in enumerate(items):
+            at = int(r.integers(0, 200))
+            drop = n >= 5  # the first shingle of these may be missing
+            texts.append(" ".join([*(f"d{i}z{j}" for j in range(at)), *item.split()[drop:], *(f"d{i}z{j}" for j in range(at, 200))]))
+        data, offsets = contamination.flat(contamination.pa.array(texts))
+        found = index.candidates(*contamination.shingles(*contamination.words(data, offsets), 5))
+        assert {(i, i) for i in range(300)} <= found, n
+
+
 # ---- token files ----
 
 
