@@ -1,7 +1,7 @@
 """The corpus pipeline: five operators, each working on all documents that its predecessor kept.
 
-toxicity rejects documents that score THRESHOLD or more. line dedup drops lines whose template recurs, and the
-documents that lose their last words by it, since every line of those stands in an earlier document. Near-dedup
+toxicity rejects documents that score THRESHOLD or more. line dedup drops lines whose template recurs in MIN_DOCS
+documents or whose masked text stands in COPIES, and the documents that lose their last words by it, since every line of those stands in an earlier document. Near-dedup
 keeps the least id of each group. Decontamination drops documents that contain a benchmark item. Mixing gives the
 copies that each document gets and drops those that get none; it returns the columns of documents and
 `copies`, `taken`, `source_size`, `target` and `size`.
@@ -18,13 +18,17 @@ from recollect.llm import contamination, lines, mixing, neardup, toxicity
 from recollect.llm.common import Scratch
 
 
+#: Documents that make a masked line recur; the registered op1 keeps the number of its SQL, lines.MIN_DOCS.
+COPIES = 2
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored, _ = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col(scored.columns[-1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, exact_docs=COPIES)
     emptied = (F.size(out.columns[-1]) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 

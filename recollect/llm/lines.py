@@ -4,7 +4,8 @@ A line's tokens are its runs of characters other than 0x20 and 0x09-0x0D; a toke
 field from the start. The tree's path to a leaf is the number of tokens and the first tokens. Within a leaf, a
 token that fewer than `min_docs` documents have at its place is a variable field as well, if the line has enough
 tokens and enough of them stay constant. Lines with equal constants share a template. A template in at least
-`min_docs` documents recurs: its first line (smallest document, then place) stays, its others are dropped.
+`min_docs` documents recurs: its first line (smallest document, then place) stays, its others are dropped. A masked
+line in at least `exact_docs` documents recurs as well, by itself; by default that is no other number.
 
 All of it is column expressions, equi-joins and partial aggregates; a template that a third of all lines have is
 one row after the map side. Lines travel as 128-bit hashes, as text only from leaves with several templates.
@@ -50,7 +51,17 @@ def _placed(lines: DataFrame, depth: int) -> DataFrame:
     return lines.withColumns({"_n": n, "_a": F.xxhash64("_mask"), "_b": F.xxhash64(F.lit(7), F.col("_mask")), "_leaf": F.xxhash64(n, F.substring_index("_mask", " ", depth))})
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT) -> DataFrame:
+def _lost(placed: DataFrame, least: int) -> DataFrame:
+    """(_doc, _body, _lost): places of each template in at least `least` documents, without its first."""
+    each = placed.groupBy("_leaf", "_ta", "_tb", "_doc", "_body").agg(F.min(F.array_min("_places")).alias("_place"))
+    first = each.groupBy("_leaf", "_ta", "_tb").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_body", "_place")).alias("_first"))
+    first = first.where(F.col("_n") >= least).drop("_n")
+    own = F.col("_doc").eqNullSafe(F.col("_first._doc")) & (F.col("_body") == F.col("_first._body"))
+    lost = placed.join(first, ["_leaf", "_ta", "_tb"]).withColumn("_lost", F.when(own, F.array_except("_places", F.array("_first._place"))).otherwise(F.col("_places")))
+    return lost.where(F.size("_lost") > 0).select("_doc", "_body", "_lost")
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, exact_docs: int | None = None) -> DataFrame:
     """(_doc, _body, _dropped): for each document that loses lines, their places."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = _placed(_lines(docs, key, text), depth)
@@ -92,14 +103,15 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     forms = of.groupBy("_leaf", "_ta", "_tb").agg(F.count(F.lit(1)).alias("_forms"), F.sum("_docs").alias("_most")).where(F.col("_most") >= min_docs)
     of = of.drop("_docs").join(forms.select("_leaf", "_ta", "_tb"), ["_leaf", "_ta", "_tb"])
     placed = scratch.table("placed", seen.join(of, ["_leaf", "_a", "_b"]).select("_leaf", "_ta", "_tb", "_doc", "_body", "_places"))
-    each = placed.groupBy("_leaf", "_ta", "_tb", "_doc", "_body").agg(F.min(F.array_min("_places")).alias("_place"))
-    first = each.groupBy("_leaf", "_ta", "_tb").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_body", "_place")).alias("_first"))
-    first = first.where(F.col("_n") >= min_docs).drop("_n")
-    own = F.col("_doc").eqNullSafe(F.col("_first._doc")) & (F.col("_body") == F.col("_first._body"))
-    lost = placed.join(first, ["_leaf", "_ta", "_tb"]).withColumn("_lost", F.when(own, F.array_except("_places", F.array("_first._place"))).otherwise(F.col("_places")))
-    lost = lost.where(F.size("_lost") > 0).groupBy("_doc", "_body").agg(F.array_sort(F.flatten(F.collect_list("_lost"))).alias("_dropped"))
+    lost = _lost(placed, min_docs)
+    if exact_docs is not None and exact_docs < min_docs:
+        # forms in min_docs documents or more are gone with their template
+        exact = support.where((F.col("_docs") >= exact_docs) & (F.col("_docs") < min_docs)).select("_leaf", "_a", "_b", F.col("_a").alias("_ta"), F.col("_b").alias("_tb"))
+        placed = scratch.table("exact", seen.join(exact, ["_leaf", "_a", "_b"]).select("_leaf", "_ta", "_tb", "_doc", "_body", "_places"))
+        lost = lost.unionByName(_lost(placed, exact_docs))
+    lost = lost.groupBy("_doc", "_body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lost")))).alias("_dropped"))
     out = scratch.table("lost", lost)
-    scratch.drop("seen", "support", "texts", "alike", "own", "templates", "placed")
+    scratch.drop("seen", "support", "texts", "alike", "own", "templates", "placed", "exact")
     return out
 
 

@@ -60,6 +60,31 @@ def test_line_dedup_cases(spark):
     assert [r["text"] for r in lines.dedup_lines(docs_of(spark, ["z z"] * 3, [1, 1, 1])).collect()] == ["z z"] * 3
 
 
+def masked(line):
+    return " ".join("<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
+
+
+def test_lines_in_two_documents(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    places = {}
+    for i in sorted(texts):
+        for place, line in enumerate((texts[i] or "").split("\n")):
+            if masked(line):
+                places.setdefault(masked(line), []).append((i, place))
+    exact = {x for own in places.values() if len({i for i, _ in own}) >= 2 for x in own[1:]}
+    by = lambda **options: {(r["doc_id"], p) for r in lines.dedup_lines(docs, **options).collect() for p in r["dropped_lines"]}
+    three = by()
+    assert by(exact_docs=2) == three | exact and exact - three
+
+
+def test_pipeline_drops_lines_in_two_documents(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.drop_recurring_lines(spark, docs_of(spark, ["one line of these\nmine", "one line of these\nyours"]), FOLDER)
+    assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["one line of these\nmine", "yours"]
+
+
 # ---- near duplicates ----
 
 
