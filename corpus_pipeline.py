@@ -1,7 +1,8 @@
 """The corpus pipeline: five operators, each working on all documents that its predecessor kept.
 
 toxicity rejects documents that score THRESHOLD or more. line dedup drops lines whose template recurs in MIN_DOCS
-documents or whose masked text stands in COPIES, and the documents that lose their last words by it, since every line of those stands in an earlier document. Near-dedup
+documents or whose masked text stands in COPIES. A document that would lose its last words by it is rejected if each
+of its raw lines stands in an earlier document; else it has numbers or words of its own and stays whole. Near-dedup
 keeps the least id of each group. Decontamination drops documents that contain a benchmark item. Mixing gives the
 copies that each document gets and drops those that get none; it returns the columns of documents and
 `copies`, `taken`, `source_size`, `target` and `size`.
@@ -28,7 +29,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs, exact_docs=COPIES)
+    out = lines.dedup_lines(docs, exact_docs=COPIES, spare_own=True)
     emptied = (F.size(out.columns[-1]) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 

@@ -5,7 +5,8 @@ field from the start. The tree's path to a leaf is the number of tokens and the
 token that fewer than `min_docs` documents have at its place is a variable field as well, if the line has enough
 tokens and enough of them stay constant. Lines with equal constants share a template. A template in at least
 `min_docs` documents recurs: its first line (smallest document, then place) stays, its others are dropped. A masked
-line in at least `exact_docs` documents recurs as well, by itself; by default that is no other number.
+line in at least `exact_docs` documents recurs as well, by itself; by default that is no other number. With
+`spare_own`, a document that would lose every line loses none, unless each of its raw lines stands in an earlier one.
 
 All of it is column expressions, equi-joins and partial aggregates; a template that a third of all lines have is
 one row after the map side. Lines travel as 128-bit hashes, as text only from leaves with several templates.
@@ -61,9 +62,23 @@ def _lost(placed: DataFrame, least: int) -> DataFrame:
     return lost.where(F.size("_lost") > 0).select("_doc", "_body", "_lost")
 
 
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, exact_docs: int | None = None) -> DataFrame:
+def _emptied_with_own(docs: DataFrame, key: str, text: str, seen: DataFrame, lost: DataFrame) -> DataFrame:
+    """(_doc, _body) of the documents that lose all lines though some raw line of theirs stands in no earlier document."""
+    totals = seen.groupBy("_doc", "_body").agg(F.sum(F.size("_places")).alias("_all")).select(F.col("_doc").alias("_of"), F.col("_body").alias("_hash"), "_all")
+    emptied = lost.join(totals, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_body") == F.col("_hash")))
+    emptied = emptied.where(F.size("_dropped") == F.col("_all")).select("_doc", "_body")
+    rows = docs.select(F.col(key).alias("_doc"), F.xxhash64(text).alias("_body"), F.explode(F.split(F.col(text), "\n", -1)).alias("_line"))
+    rows = rows.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
+    raw = rows.select("_doc", "_body", F.xxhash64("_line").alias("_r"), F.xxhash64(F.lit(7), F.col("_line")).alias("_s"))
+    # a document has a line of its own if it is the first for some line
+    firsts = raw.groupBy("_r", "_s").agg(F.min(F.struct("_doc", "_body")).alias("_first")).select(F.col("_first._doc").alias("_of"), F.col("_first._body").alias("_hash")).distinct()
+    return emptied.join(firsts, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_body") == F.col("_hash")), "left_semi")
+
+
+def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, constant: float = CONSTANT, exact_docs: int | None = None, spare_own: bool = False) -> DataFrame:
     """(_doc, _body, _dropped): for each document that loses lines, their places."""
     scratch = Scratch(docs.sparkSession, "lines")
+    of_key = key
     lines = _placed(_lines(docs, key, text), depth)
     # one row for each document and distinct masked line, with all its places
     seen = lines.groupBy("_doc", "_body", "_leaf", "_n", "_a", "_b").agg(F.collect_list("_place").alias("_places"))
@@ -110,8 +125,12 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
         placed = scratch.table("exact", seen.join(exact, ["_leaf", "_a", "_b"]).select("_leaf", "_ta", "_tb", "_doc", "_body", "_places"))
         lost = lost.unionByName(_lost(placed, exact_docs))
     lost = lost.groupBy("_doc", "_body").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_lost")))).alias("_dropped"))
+    if spare_own:
+        lost = scratch.table("all-lost", lost)
+        spared = _emptied_with_own(docs, of_key, text, seen, lost).select(F.col("_doc").alias("_of"), F.col("_body").alias("_hash"))
+        lost = lost.join(spared, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_body") == F.col("_hash")), "left_anti")
     out = scratch.table("lost", lost)
-    scratch.drop("seen", "support", "texts", "alike", "own", "templates", "placed", "exact")
+    scratch.drop("seen", "support", "texts", "alike", "own", "templates", "placed", "exact", "all-lost")
     return out
 
 

@@ -85,6 +85,16 @@ def test_pipeline_drops_lines_in_two_documents(spark):
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["one line of these\nmine", "yours"]
 
 
+def test_pipeline_keeps_emptied_documents_with_own_lines(spark):
+    import corpus_pipeline
+
+    texts = ["page 1 of 9", "page 2 of 9", "page 2 of 9\npage 1 of 9", "page 1 of 9\n\npage 3 of 9", "page 2 of 9", None, ""]
+    out = corpus_pipeline.drop_recurring_lines(spark, docs_of(spark, texts), FOLDER)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: texts[i] for i in (0, 1, 3, 5, 6)}
+    out = corpus_pipeline.drop_recurring_lines(spark, docs_of(spark, ["n 1", "n 2", "n 2", "n 3"], [None, 4, 5, 4]), FOLDER)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("4", "n 2"), ("4", "n 3"), ("None", "n 1")]
+
+
 # ---- near duplicates ----
 
 
