@@ -127,7 +127,8 @@ def _links_in_blocks(members: DataFrame, signed: DataFrame, sets: DataFrame, sim
     blocks = F.ceil(F.col("size") / PER_BLOCK).cast("int")
     rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
-    rows = rows.join(signed.select(F.col("_doc").alias("doc"), "_sig"), "doc").join(sets.select(F.col("_doc").alias("doc"), "_set"), "doc")
+    # a signature goes with the set of its own class
+    rows = rows.join(signed.select(F.col("_doc").alias("doc"), "_hi", "_lo", "_sig"), "doc").join(sets.withColumnRenamed("_doc", "doc"), ["doc", "_hi", "_lo"]).drop("_hi", "_lo")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
@@ -180,7 +181,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
-    """(_doc, _set): the shingle hashes of the documents in `wanted` (_doc, _hi, _lo)."""
+    """(_doc, _hi, _lo, _set): the shingle hashes of each class in `wanted` (_doc, _hi, _lo)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +193,8 @@ def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) ->
 
     own = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text")).join(wanted.select("_doc"), "_doc", "left_semi")
     found = own.mapInArrow(run, "_doc long, _hi long, _lo long, _set binary")
-    # rows of one id may hold several texts
-    return found.join(wanted, ["_doc", "_hi", "_lo"], "left_semi").dropDuplicates(["_doc"]).select("_doc", "_set")
+    # rows of one id may hold several texts, each with its set; dealt by id, as the joins that follow are
+    return found.join(wanted, ["_doc", "_hi", "_lo"], "left_semi").repartition("_doc").dropDuplicates(["_doc", "_hi", "_lo"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     classes = signed_all.where("_n > 0").groupBy("_hi", "_lo", "_n").agg(F.min("_doc").alias("_rep"))
     classes = scratch.table("classes", classes.where("_rep is not null"))
     one = classes.select(F.col("_rep").alias("_doc"), "_hi", "_lo")
-    # an id with several texts stands for all of them; its least class signs for it
+    # an id with several texts stands for all of them; each class it represents signs for it
     signed = signed_all.join(one, ["_doc", "_hi", "_lo"], "left_semi").dropDuplicates(["_doc", "_hi", "_lo"]).select("_doc", "_hi", "_lo", "_sig")
     signed = scratch.table("signed", signed)
     members = signed_all.where("_n > 0").select("_doc", "_hi", "_lo").distinct()

@@ -151,6 +151,18 @@ def test_near_duplicates_cases(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
 
 
+@pytest.mark.parametrize("small", [neardup.SMALL, 1])
+def test_id_with_several_texts_links_by_each(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    texts, ids = [], []
+    for g in range(10):
+        one, other = prose(2 * g, 200, 10**6), prose(2 * g + 1, 200, 10**6)
+        texts += [one, other, one + " end", other + " end"]
+        ids += [10 * g, 10 * g, 10 * g + 1, 10 * g + 2]
+    got = neardup.near_duplicates(docs_of(spark, texts, ids), k=2).collect()
+    assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in got)
+
+
 def test_sequential_test_drops_and_keeps():
     r = np.random.default_rng(0)
     left = r.integers(0, 2**32, (200, 160), dtype=np.uint32)
