@@ -54,7 +54,7 @@ STAGES = [
     ("benchmark decontamination", drop_benchmark_leaks),
     ("mixing sources to target weights", mix),
 ]
-#: Label models, Newton iterations and signatures have no SQL twin; tests hold run() against brute force.
+#: Label models, Newton iterations and signatures have no SQL twin; tests look at the stages, not yet at the rows of run().
 ORACLE_SQL = None
 
 
