@@ -291,14 +291,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = repeated_runs(rows, scratch).groupBy("_doc", "_h").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("_starts") + (LENGTH - 1)).alias("b"))).alias("_cuts"))
     found = scratch.table("cuts", found.select(F.col("_doc").alias("_of"), F.col("_h").alias("_oh"), "_cuts"))
     scratch.drop("again", "sorted")
-    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts")
+    # of rows with equal id and text, those after the first repeat as a whole; written, so that their numbers stay
+    twins = rows.groupBy("_doc", "_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    twins = scratch.table("twins", twins.select(F.col("_doc").alias("_td"), F.col("_h").alias("_th")))
+    is_twin = F.col("_doc").eqNullSafe(F.col("_td")) & (F.col("_h") == F.col("_th"))
+    same = scratch.table("same", rows.join(twins, is_twin, "left_semi").withColumn("_no", F.monotonically_increasing_id()))
+    leads = same.groupBy("_doc", "_h").agg(F.min("_no").alias("_lead")).select("_lead")
+    extra = same.join(leads, F.col("_no") == F.col("_lead"), "left").withColumn("_extra", F.col("_lead").isNull()).drop("_no", "_lead")
+    every = rows.join(twins, is_twin, "left_anti").withColumn("_extra", F.lit(False)).unionByName(extra)
+    joined = every.join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts", "_extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("_text"))
             out: list[tuple] = []
-            for r, cuts in enumerate(batch.column("_cuts").to_pylist()):
+            for r, (cuts, whole) in enumerate(zip(batch.column("_cuts").to_pylist(), batch.column("_extra").to_pylist(), strict=True)):
                 body = data[offsets[r] : offsets[r + 1]].tobytes()
+                if whole and len(body) >= LENGTH:
+                    cuts = [{"a": 0, "b": len(body)}]
                 spans: list[list[int]] = []
                 for a, b in sorted((x["a"], x["b"]) for x in cuts or ()):
                     if spans and a <= spans[-1][1]:

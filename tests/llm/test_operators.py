@@ -272,6 +272,13 @@ def test_repeats_cases(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("3", len(text)), ("3", len(text)), ("None", 0)]
 
 
+def test_equal_rows_repeat_all_but_one(spark):
+    text, short, other = prose(1, 60), prose(2, 10), prose(3, 60)
+    got = suffixes.remove_repeats(docs_of(spark, [text] * 3 + [short] * 2 + [other], [3, 3, 3, 4, 4, 3])).collect()
+    found = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got)
+    assert found == sorted([(3, len(text), 0), *[(3, len(text), len(text))] * 2, *[(4, len(short), 0)] * 2, (3, len(other), 0)])
+
+
 # ---- decontamination ----
 
 
