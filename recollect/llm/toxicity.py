@@ -11,7 +11,7 @@ weight. Its posteriors, not the labels, then train a logistic regression (Newton
 distinct vote sets with counts, so copies are pre-aggregated and the driver receives sums of fixed size.
 
 Defined results: null and empty texts fire no voter and get the score of such texts; labels that are null, or whose
-row is held out, are never read; several labels of one document count as toxic if one is; without labels the lexicon
+row is held out or has a null id, are never read; a null id is not held out; several labels of one document count as toxic if one is; without labels the lexicon
 votes alone; rows are independent, so repeats get equal scores; further columns pass through, whatever their names.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, flat, fresh
+from .common import Scratch, fresh
 
 #: The lexicon.
 LEXICON = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -42,13 +42,16 @@ SAMPLE = 10_000
 PREFIXES, SUPPORT, RATIO, VOTERS = range(4, 11), 8, 4.0, 40
 #: A ratio from which only the number of toxic texts ranks voters, so that a common stem comes before its forms.
 PURE = 10.0
+#: Different word beginnings that a task counts at a time.
+PIECE = 100_000
 EM_STEPS, NEWTON_STEPS, RIDGE, THRESHOLD, CORRELATED = 12, 30, 1.0, 0.3, 0.2
 WORD = re.compile(r"[^\W\d_]+")
 ELONGATED = re.compile(r"([^\W\d_])\1{3}")
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept from learning; a null id is not held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def beginnings(text: str) -> set[str]:
@@ -71,12 +74,14 @@ def mine_voters(docs: DataFrame, train: DataFrame, key: str, text: str) -> list[
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for body, toxic in zip(batch["_text"], batch["_toxic"], strict=True):
-                sums[min(int(toxic), 1)].update(beginnings(body))
-            toxic, clean = sums[1], sums[0]
-            names = list(toxic.keys() | clean.keys())
-            yield pd.DataFrame({"mark": names, "t": [toxic[n] for n in names], "c": [clean[n] for n in names]})
+            toxic, clean = Counter(), Counter()
+            for i, (body, label) in enumerate(zip(batch["_text"], batch["_toxic"], strict=True), 1):
+                (toxic if label >= 1 else clean).update(beginnings(body))
+                # partial counts leave in pieces, so memory does not grow with the batch
+                if i == len(batch) or len(toxic) + len(clean) >= PIECE:
+                    names = list(toxic.keys() | clean.keys())
+                    yield pd.DataFrame({"mark": names, "t": [toxic[n] for n in names], "c": [clean[n] for n in names]})
+                    toxic, clean = Counter(), Counter()
 
     sizes = rows.groupBy("_toxic").count().collect()
     size = {r[0]: r[1] for r in sizes}
@@ -92,11 +97,13 @@ def mine_voters(docs: DataFrame, train: DataFrame, key: str, text: str) -> list[
     return out
 
 
-def with_votes(docs: DataFrame, text: str, voters: list[str], into: str) -> DataFrame:
-    """Adds the set of voters that fire as a 64-bit number; patterns take the bits after the voters'."""
-    source, = fresh(docs, "votes_text")
+def votes_of(text: Column, voters: list[str]) -> Column:
+    """The set of voters that fire as a 64-bit number; patterns take the bits after the voters'.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the text goes to Python, in pieces of bounded size, and one number for each row comes back.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
@@ -117,14 +124,9 @@ def with_votes(docs: DataFrame, text: str, voters: list[str], into: str) -> Data
             return out | sum(1 << i for i, fires in enumerate(style, first) if fires)
 
         for batch in batches:
-            _, offsets = flat(batch.column(batch.num_columns - 1))
-            for a, b in chunks(offsets):
-                part = batch.slice(a, b - a)
-                found = [votes(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.int64())], names=[*part.schema.names[:-1], into])
+            yield pa.array((votes(x.as_py()) for x in batch), pa.int64(), size=len(batch))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType())])
-    return docs.select("*", F.col(text).cast("string").alias(source)).mapInArrow(run, schema)
+    return F.arrow_udf(run, T.LongType())(text.cast("string"))
 
 
 def _matrix(bits: np.ndarray, n: int) -> np.ndarray:
@@ -180,6 +182,15 @@ class ToxicityModel:
     def score(self, bits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(bits) @ self.weights, -30, 30)))
 
+    def score_column(self, bits: Column) -> Column:
+        """score() as a column expression."""
+        n = len(self.voters)
+        fired = F.bit_count(bits.bitwiseAND(F.lit((1 << n) - 1)))
+        odds = F.lit(float(self.weights[0])) + F.lit(float(self.weights[-1])) * F.log1p(fired)
+        for i, weight in enumerate(self.weights[1:-1]):
+            odds = odds + F.lit(float(weight)) * F.getbit(bits, F.lit(i)).cast("double")
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0))))
+
 
 def fit_label_model(model: ToxicityModel, patterns: DataFrame) -> None:
     """Expectation maximisation over (bits, known, n); known is the label of training rows, else null."""
@@ -247,32 +258,32 @@ def fit_classifier(model: ToxicityModel, patterns: DataFrame) -> None:
     model.weights = kept
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[DataFrame, ToxicityModel]:
-    """docs with votes and score, and the model that was fitted on them."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None) -> tuple[DataFrame, ToxicityModel]:
+    """The columns `keep` of docs (all by default) with votes and score, and the model that was fitted on them.
+
+    The votes are computed once: they are written beside the kept columns, and the score is an expression over them.
+    """
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.table("train", training_labels(labels, key, label))
     mined = mine_voters(docs, train, key, text)
     voters = mined + [w for w in LEXICON if not any(w.startswith(v) or v.startswith(w) for v in mined)]
     model = ToxicityModel(voters)
-    into, score = fresh(docs, "votes", "score")
-    voted = with_votes(docs, text, voters, into)
-    slim = scratch.table("votes", voted.select(F.col(key).alias("_key"), F.col(into).alias("bits")))
-    known = slim.join(train, "_key", "left").groupBy("bits", F.col("_toxic").cast("double").alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.columns if keep is None else keep
+    into, score = fresh(docs.select(*kept), "votes", "score")
+    named = fresh(docs.select(*kept), "_key")[0]
+    voted = scratch.table("voted", docs.select(*kept, F.col(key).alias(named), votes_of(F.col(text), voters).alias(into)))
+    slim = voted.select(F.col(named).alias("_key"), F.col(into).alias("bits"))
+    # counted by id first, so that an id (or null) that many rows have is a few rows of the join
+    counted = slim.groupBy("_key", "bits").agg(F.count(F.lit(1)).alias("n"))
+    known = counted.join(train, "_key", "left").groupBy("bits", F.col("_toxic").cast("double").alias("known")).agg(F.sum("n").alias("n"))
     patterns = scratch.table("patterns", known)
     fit_label_model(model, patterns)
     fit_classifier(model, patterns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(bits))], names=[*batch.schema.names, score])
-
-    scored = voted.mapInArrow(run, T.StructType([*voted.schema.fields, T.StructField(score, T.DoubleType())]))
-    return scored, model
+    return voted.drop(named).withColumn(score, model.score_column(F.col(into))), model
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored, _ = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored, _ = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "votes")
