@@ -5,11 +5,12 @@ or before in the same document. Strings never cross documents and are judged on
 
 Distribution. Every start of a LENGTH-byte string gets the least hash of the K-byte grams within the string, so
 equal strings get equal values, and neighbouring starts with one value form a run. Runs whose value no other run
-has, and whose least gram stands in them once, hold nothing that repeats. Runs with equal value and equal bytes are one text: the earliest stands for it and
-every other is a repeat as a whole, so a group of copies is pre-aggregated to one run. Only values with several
-different texts, or with one that may repeat itself, are sorted. A value that very many texts share (a common passage in many contexts) is first split
-by further hash functions of the same strings, which keeps equal strings together. Texts are dealt to buckets of
-bounded size by value.
+has, and whose least gram stands in them once, hold nothing that repeats. Runs with equal value and equal bytes are
+one text: the earliest stands for it and every other is a repeat as a whole, so a group of copies is pre-aggregated to
+one run. Only values with several different texts, or with one that may repeat itself, are sorted. A value that very
+many texts share (a common passage in many contexts) is first cut finer by further hash functions of the same strings,
+which keeps equal strings together, and what of it stays large is cut into single strings, whose 128-bit hashes are
+counted. So texts are dealt to buckets of bounded size by value.
 
 Sorting, in each bucket, is the difference-cover algorithm (modulo 3): sort the triples at sampled positions, name
 them, recurse on the names until a name spans LENGTH bytes or names are unique, sort the remaining suffixes by a
@@ -24,6 +25,7 @@ ignored; texts shorter than LENGTH lose nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, flat
+from .common import Scratch, chunks, first_of_equal, flat, join_by_share
 from .shingles import mix, prefix_hash, range_hash
 
 #: Bytes of a string that repeats, and of the grams whose least hash finds its partners.
 LENGTH, GRAM = 100, 16
-#: Different texts of one value beyond which further hash functions split it, and how many.
-MANY, SPLITS = 2048, 3
+#: Different texts of one value, and their mean bytes, beyond which further hash functions split it, and how many.
+MANY, MEAN, SPLITS = 2048, 512, 3
 #: Starts in a run at most, and bytes of text in a bucket about: its arrays should fit the processor's cache.
 RUN, BUCKET_BYTES = 1 << 16, 1 << 18
+#: Bytes of text whose runs are found at a time; the arrays for it take about two hundred times that.
+CHUNK = 1 << 19
 _TABLE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -186,6 +191,7 @@ def start_classes(segments: list[bytes], starts: np.ndarray) -> np.ndarray:
 # ---- the operator ----
 
 _RUN = "_doc {key}, _h long, _at int, _starts int"
+_PLACE = ("_doc", "_h", "_at")
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -194,44 +200,83 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("_doc"), F.xxhash64(body).alias("_h"), body.alias("_text"))
 
 
+def _runs_batch(ids: list[pa.Array], found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    row, at, starts, value, body, periodic = found
+    take = pa.array(row)
+    columns = [*(x.take(take) for x in ids), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(value), pa.array(body), pa.array(periodic)]
+    return pa.RecordBatch.from_arrays(columns, names=["_doc", "_h", "_at", "_starts", "value", "body", "periodic"])
+
+
+def _runs_type(rows: DataFrame) -> str:
+    return f"{_RUN.format(key=rows.schema['_doc'].dataType.simpleString())}, value long, body long, periodic boolean"
+
+
 def _runs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("_text"))
-            for a, b in chunks(offsets):
-                row, at, starts, value, body, periodic = runs_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                take = pa.array(row + a)
-                columns = [batch.column("_doc").take(take), batch.column("_h").take(take), pa.array(at.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(value), pa.array(body), pa.array(periodic)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_h", "_at", "_starts", "value", "body", "periodic"])
+            for a, b in chunks(offsets, CHUNK):
+                found = runs_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield _runs_batch([batch.column(c).slice(a, b - a) for c in ("_doc", "_h")], found)
+
+    return rows.mapInArrow(run, _runs_type(rows))
+
+
+def _with_runs(rows: DataFrame, wanted: DataFrame, *also: str) -> DataFrame:
+    """rows with the runs of `wanted` that lie in them, as an array of (at, starts, ...)."""
+    per_doc = wanted.groupBy("_doc", "_h").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_starts").alias("starts"), *also)).alias("_runs"))
+    per_doc = per_doc.select(F.col("_doc").alias("_of"), F.col("_h").alias("_oh"), "_runs")
+    return rows.join(per_doc, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh"))).select("_doc", "_h", "_text", "_runs")
 
-    kind = rows.schema["_doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"{_RUN.format(key=kind)}, value long, body long, periodic boolean")
 
+def _pieces(batch: pa.RecordBatch):
+    """(rows, fields of their runs, bytes of the runs, offsets of those) for parts of a batch of bounded size."""
+    data, offsets = flat(batch.column("_text"))
+    for a, b in chunks(offsets, CHUNK):
+        lists = batch.column("_runs").slice(a, b - a)
+        fields = lists.flatten()
+        row = a + np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
+        own = {fields.type.field(i).name: column.to_numpy(zero_copy_only=False) for i, column in enumerate(fields.flatten())}
+        width = own["starts"].astype(np.int64) + (LENGTH - 1)
+        ends = np.zeros(len(row) + 1, np.int64)
+        np.cumsum(width, out=ends[1:])
+        yield row, own, data[np.arange(ends[-1]) + np.repeat(offsets[row] + own["at"] - ends[:-1], width)], ends
 
-def _segments(wanted: DataFrame, buckets: int) -> DataFrame:
-    """The bytes of the runs in wanted: (_doc, _h, _text, _runs of (at, starts, value, kinds)), dealt to buckets."""
+
+def _split(rows: DataFrame, wanted: DataFrame, singly: bool) -> DataFrame:
+    """The runs in `wanted` cut into finer ones: by SPLITS further hash functions, or singly, each start by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            data, offsets = flat(batch.column("_text"))
-            for r, runs in enumerate(batch.column("_runs").to_pylist()):
-                text = data[offsets[r] : offsets[r + 1]]
-                for x in runs:
-                    own = text[x["at"] : x["at"] + x["starts"] + LENGTH - 1]
-                    if x["kinds"] <= MANY:
-                        out.append((r, x["at"], x["starts"], x["value"], own.tobytes()))
-                        continue
-                    _, first, starts, value, _, _ = runs_of(own, np.array([0, len(own)]), range(1, SPLITS + 1))
-                    out.extend((r, x["at"] + int(f), int(n), int(v), own[f : f + n + LENGTH - 1].tobytes()) for f, n, v in zip(first, starts, value, strict=True))
-            row, at, starts, value, body = zip(*out, strict=True) if out else ((),) * 5
-            take = pa.array(row, pa.int64())
-            bucket = pa.array(mix(np.array(value, np.int64).view(np.uint64)) % np.uint64(buckets), pa.uint64()).cast(pa.int64())
-            columns = [batch.column("_doc").take(take), batch.column("_h").take(take), pa.array(at, pa.int32()), pa.array(starts, pa.int32()), bucket, pa.array(body, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_h", "_at", "_starts", "bucket", "bytes"])
-
-    kind = wanted.schema["_doc"].dataType.simpleString()
-    return wanted.select("_doc", "_h", "_text", "_runs").mapInArrow(run, f"{_RUN.format(key=kind)}, bucket long, bytes binary")
+            for row, own, data, ends in _pieces(batch):
+                if singly:
+                    piece = np.repeat(np.arange(len(row)), own["starts"])
+                    at = np.arange(len(piece)) - np.repeat(np.cumsum(own["starts"]) - own["starts"], own["starts"])
+                    start = ends[piece] + at
+                    value, body = (mix(range_hash(prefix_hash(table[data]), start, start + LENGTH)).view(np.int64) for table in (_TABLE, _OTHER))
+                    found = (piece, at, np.ones(len(piece), np.int64), value, body, np.zeros(len(piece), bool))
+                else:
+                    found = runs_of(data, ends, range(1, SPLITS + 1))
+                piece, at, *rest = found
+                yield _runs_batch([batch.column("_doc"), batch.column("_h")], (row[piece], own["at"][piece] + at, *rest))
+
+    return _with_runs(rows, wanted).mapInArrow(run, _runs_type(rows))
+
+
+def _segments(rows: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """The bytes of the runs in wanted: (_doc, _h, _at, _starts, bucket, bytes), dealt to buckets by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, own, data, ends in _pieces(batch):
+                take = pa.array(row)
+                bucket = (mix(own["value"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                columns = [batch.column("_doc").take(take), batch.column("_h").take(take), pa.array(own["at"], pa.int32()), pa.array(own["starts"], pa.int32()), pa.array(bucket), body]
+                yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_h", "_at", "_starts", "bucket", "bytes"])
+
+    kind = rows.schema["_doc"].dataType.simpleString()
+    return _with_runs(rows, wanted, "value").mapInArrow(run, f"{_RUN.format(key=kind)}, bucket long, bytes binary")
 
 
 def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
@@ -252,54 +297,70 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_doc": group["_doc"].to_numpy()[row[first]], "_h": group["_h"].to_numpy()[row[first]], "_at": at[first].astype(np.int32), "_starts": n.astype(np.int32)})
 
 
+def _same_runs(runs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(repeats, leads): runs with the bytes of an earlier run, and the first run of each text that others share.
+
+    leads: (value, body, _doc, _h, _at, _starts, periodic, kinds, weight) of the values that several runs have, or one
+    that may repeat itself; kinds counts the value's different texts and weight their bytes.
+    """
+    values = runs.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.max("periodic").alias("looped"))
+    several = scratch.table(f"several-{name}", values.where("c > 1 or looped"))
+    scratch.drop()
+    shared = scratch.table(f"shared-{name}", join_by_share(runs.drop("periodic"), several, ["value"], "c"))
+    scratch.drop(f"several-{name}")
+    own = F.struct(*_PLACE, "_starts")
+    leads = shared.groupBy("value", "body").agg(F.min(own).alias("lead"), F.max("looped").alias("periodic"), F.count(F.lit(1)).alias("c"))
+    leads = scratch.table(f"leads-{name}", leads)
+    copied = leads.where("c > 1").select("value", "body", "lead", "c")
+    again = join_by_share(shared, copied, ["value", "body"], "c").where(~own.eqNullSafe(F.col("lead"))).select(*_PLACE, "_starts")
+    again = scratch.table(f"again-{name}", again)
+    scratch.drop(f"shared-{name}")
+    kinds = leads.groupBy("value").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("lead._starts").cast("long") + (LENGTH - 1)).alias("weight"), F.max("periodic").alias("looped"))
+    kinds = scratch.table(f"kinds-{name}", kinds.where("kinds > 1 or looped").drop("looped").withColumn("n", F.col("kinds")))
+    wanted = join_by_share(leads.select("value", "lead.*"), kinds, ["value"], "n")
+    return again, wanted
+
+
 def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_doc, _h, _at, _starts): runs of starts whose string also starts earlier."""
-    place = F.struct("_doc", "_h", "_at")
+    """(_doc, _h, _at, _starts): runs of starts whose string also starts earlier; rows has no two equal ones."""
     runs = scratch.table("runs", _runs(rows))
-    values = runs.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("body").alias("low"), F.max("body").alias("high"), F.max("periodic").alias("periodic"), F.min(place).alias("lead"))
-    several = values.where("c > 1 or periodic").select("value", F.expr("low <> high or periodic").alias("mixed"), "lead")
-    # written first, so that the shuffle behind it is gone when that of the join is made
-    several = scratch.table("several", several)
-    scratch.drop()
-    shared = scratch.table("shared", runs.drop("periodic").join(several, "value"))
-    scratch.drop("runs", "several")
-    later = ~F.struct("_doc", "_h", "_at").eqNullSafe(F.col("lead"))
-    copies = shared.where(~F.col("mixed") & later).select("_doc", "_h", "_at", "_starts")
-    mixed = shared.where("mixed").drop("lead", "mixed")
-    leads = scratch.table("leads", mixed.groupBy("value", "body").agg(F.min(F.struct("_doc", "_h", "_at", "_starts")).alias("lead"), F.count(F.lit(1)).alias("c")))
-    repeated = leads.where("c > 1").select("value", "body", F.col("lead").alias("of"))
-    again = mixed.join(repeated, ["value", "body"]).where(~F.struct("_doc", "_h", "_at", "_starts").eqNullSafe(F.col("of"))).select("_doc", "_h", "_at", "_starts")
-    again = scratch.table("again", copies.unionByName(again))
-    scratch.drop("shared")
-    kinds = leads.groupBy("value").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = leads.select("value", "lead.*").join(kinds, "value")
-    n_bytes = wanted.agg(F.sum(F.col("_starts").cast("long") + (LENGTH - 1))).first()[0] or 0
-    per_doc = wanted.groupBy("_doc", "_h").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_starts").alias("starts"), "value", "kinds")).alias("_runs"))
-    per_doc = per_doc.select(F.col("_doc").alias("_of"), F.col("_h").alias("_oh"), "_runs")
-    texts = rows.join(per_doc, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh"))).dropDuplicates(["_doc", "_h"])
-    segments = _segments(texts, max(1, -(-n_bytes // BUCKET_BYTES)))
+    again, wanted = _same_runs(runs, scratch, "first")
+    scratch.drop("runs")
+    wanted = scratch.table("wanted", wanted)
+    scratch.drop("leads-first", "kinds-first")
+    large = (F.col("kinds") > MANY) | (F.col("weight") > MANY * MEAN)
+    sorted_, found = wanted.where(~large), [again]
+    for name in ("finer", "single"):
+        hot = wanted.where(large)
+        if hot.isEmpty():
+            break
+        runs = scratch.table(f"runs-{name}", _split(rows, hot, name == "single"))
+        again, leads = _same_runs(runs, scratch, name)
+        found.append(again)
+        scratch.drop(f"runs-{name}")
+        if name == "single":
+            # equal strings are equal texts by now: nothing is left to sort
+            break
+        wanted = scratch.table(f"wanted-{name}", leads)
+        sorted_ = sorted_.unionByName(wanted.where(~large))
+    n_bytes = sorted_.agg(F.sum(F.col("_starts").cast("long") + (LENGTH - 1))).first()[0] or 0
+    segments = _segments(rows, sorted_, max(1, -(-n_bytes // BUCKET_BYTES)))
     kind = rows.schema["_doc"].dataType.simpleString()
-    sorted_ = scratch.table("sorted", segments.groupBy("bucket").applyInPandas(_sort_bucket, _RUN.format(key=kind)))
-    scratch.drop("leads")
-    return again.unionByName(sorted_)
+    found.append(scratch.table("sorted", segments.groupBy("bucket").applyInPandas(_sort_bucket, _RUN.format(key=kind))))
+    scratch.drop(*(f"{x}-{name}" for name in ("finer", "single") for x in ("leads", "kinds")), "wanted", "wanted-finer")
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept, spans): kept are the remaining bytes, spans the removed ones."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    rows = _identified(docs, key, text)
+    # of rows with equal id and text, those after the first repeat as a whole
+    rows, extra = first_of_equal(_identified(docs, key, text), "_doc", "_h", scratch)
     found = repeated_runs(rows, scratch).groupBy("_doc", "_h").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("_starts") + (LENGTH - 1)).alias("b"))).alias("_cuts"))
     found = scratch.table("cuts", found.select(F.col("_doc").alias("_of"), F.col("_h").alias("_oh"), "_cuts"))
-    scratch.drop("again", "sorted")
-    # of rows with equal id and text, those after the first repeat as a whole; written, so that their numbers stay
-    twins = rows.groupBy("_doc", "_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    twins = scratch.table("twins", twins.select(F.col("_doc").alias("_td"), F.col("_h").alias("_th")))
-    is_twin = F.col("_doc").eqNullSafe(F.col("_td")) & (F.col("_h") == F.col("_th"))
-    same = scratch.table("same", rows.join(twins, is_twin, "left_semi").withColumn("_no", F.monotonically_increasing_id()))
-    leads = same.groupBy("_doc", "_h").agg(F.min("_no").alias("_lead")).select("_lead")
-    extra = same.join(leads, F.col("_no") == F.col("_lead"), "left").withColumn("_extra", F.col("_lead").isNull()).drop("_no", "_lead")
-    every = rows.join(twins, is_twin, "left_anti").withColumn("_extra", F.lit(False)).unionByName(extra)
-    joined = every.join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts", "_extra")
+    scratch.drop("again-first", "again-finer", "again-single", "sorted")
+    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts", F.lit(False).alias("_extra"))
+    joined = joined.unionByName(extra.select("_doc", "_text", F.lit(None).cast(found.schema["_cuts"].dataType).alias("_cuts"), F.lit(True).alias("_extra")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
