@@ -40,9 +40,9 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/recollect/{label}-{uuid.uuid4().hex}"
         atexit.register(self._quietly_remove)
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
