@@ -1,7 +1,7 @@
 """The corpus pipeline: five operators, each working on all documents that its predecessor kept.
 
 toxicity rejects documents that score THRESHOLD or more. line dedup drops lines whose template recurs in MIN_DOCS
-documents or whose masked text stands in COPIES. A document that would lose its last words by it is rejected if each
+documents or whose masked text stands in EXACT_DOCS. A document that would lose its last words by it is rejected if each
 of its raw lines stands in an earlier document; else it has numbers or words of its own and stays whole. Near-dedup
 keeps the least id of each group. Decontamination drops documents that contain a benchmark item. Mixing gives the
 copies that each document gets and drops those that get none; it returns the columns of documents and
@@ -19,17 +19,13 @@ from recollect.llm import contamination, lines, mixing, neardup, toxicity
 from recollect.llm.common import Scratch
 
 
-#: Documents that make a masked line recur; the registered op1 keeps the number of its SQL, lines.MIN_DOCS.
-COPIES = 2
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored, _ = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col(scored.columns[-1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs, exact_docs=COPIES, spare_own=True)
+    out = lines.dedup_lines(docs, spare_own=True)
     emptied = (F.size(out.columns[-1]) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
@@ -44,7 +40,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).where("copies > 0")
+    mixed = mixing.mix_sources(docs)
+    copies = mixed.columns[-2]  # named otherwise where documents have such a column
+    return mixed.where(F.col(copies) > 0)
 
 
 STAGES = [
@@ -54,7 +52,7 @@ STAGES = [
     ("benchmark decontamination", drop_benchmark_leaks),
     ("mixing sources to target weights", mix),
 ]
-#: Label models, Newton iterations and signatures have no SQL twin; tests look at the stages, not yet at the rows of run().
+#: Label models, Newton iterations and signatures have no SQL twin; tests hold the stages and run() against plain code.
 ORACLE_SQL = None
 
 
