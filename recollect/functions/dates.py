@@ -8,9 +8,30 @@ from pyspark.sql import functions as F
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 WEEKDAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 NUMBERS = "one two three four five six seven eight nine ten".split()
+# Weekdays and spans that "last", "next" and "this" lead.
 WEEKDAY = r"\b(last|next|this)\s+(monday|mon|tuesday|tues|tue|wednesday|weds|wed|thursday|thurs|thur|thu|friday|fri|saturday|sat|sunday|sun)\b"
 TURN = r"^(last|next|this)\s+(weekend|week|month|summer|winter|spring|autumn|fall)\b"
 SHOWN = "d MMMM yyyy"
+# Forms of absolute dates, in the order in which they are tried.
+ISO = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+DAY_FIRST = r"([0-9]{1,2})\s+([A-Za-z]{3,})\.?,?\s+([0-9]{4})"
+MONTH_FIRST = r"([A-Za-z]{3,})\.?\s+([0-9]{1,2}),?\s+([0-9]{4})"
+MONTH_YEAR = r"([A-Za-z]{3,})\.?\s+([0-9]{4})"
+# Numbers in words before a unit ("a" is one), and forms that are relative to a date.
+COUNTS = "one two three four five six".split()
+_NUMBER = rf"(?i)(?:the\s+)?(?:(a|{'|'.join(COUNTS)}|[0-9]+)\s+)?\b"
+WEEKDAYS_BEFORE = rf"{_NUMBER}({'|'.join(WEEKDAYS)})s?\b\s+before\s+(.+)"
+UNITS_BEFORE = rf"{_NUMBER}(day|week|weekend)s?\b\s+before\s+(.+)"
+ANCHORED = r"(?is)^\s*(.+?)\s*\(anchor:\s*(.+?)\)\s*$"
+ANY_WEEKDAY = r"\b(monday|mon|tuesday|tues|tue|wednesday|wed|thursday|thurs|thur|thu|friday|fri|saturday|sat|sunday|sun)\b"
+
+
+def bound(value: Column, body) -> Column:
+    """body(x) with x standing for value, which is computed once however often the body names it.
+
+    The body must not bind again: Spark does not find nested lambdas in the arguments of a Python function.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def anchor_text(anchor: Column) -> Column:
@@ -40,12 +61,14 @@ def weekday_near(day: Column, weekday: Column, before: Column) -> Column:
     return F.when(before, F.date_sub(day, gap)).otherwise(F.date_add(day, gap))
 
 
+_AGO = rf"\b({'|'.join(NUMBERS)})\s+((?:day|week|month|year)s?)\s+ago\b"
+
+
 def _counted(expression: Column) -> Column:
-    """Number words before "days ago" and the like as digits."""
-    out = expression
-    for n, word in enumerate(NUMBERS, 1):
-        out = F.regexp_replace(out, rf"\b{word}\s+((?:day|week|month|year)s?)\s+ago\b", rf"{n} $1 ago")
-    return out
+    """The number word before "days ago" and the like as digits."""
+    word = F.regexp_extract(expression, _AGO, 1)
+    number = F.array_position(F.array(*map(F.lit, NUMBERS)), word).cast("string")
+    return F.when(expression.endswith("ago") | expression.contains(" ago"), F.when(word != "", F.regexp_replace(expression, F.lit(_AGO), F.concat(number, F.lit(" $2 ago")))).otherwise(expression)).otherwise(expression)
 
 
 def with_resolved_time(rows: DataFrame, expression: Column, anchor: Column, into: str) -> DataFrame:
@@ -98,28 +121,85 @@ def with_resolved_time(rows: DataFrame, expression: Column, anchor: Column, into
     return staged.withColumn(into, stored).drop("_said", "_when", "_expr", "_shown", "_day", "_unit")
 
 
+def absolute_date(text: Column) -> Column:
+    """ISO, day first, month first, else month and year (its first day); null if none, or if the first that fits is no day."""
+    iso = F.regexp_extract(text, ISO, 1)
+    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    day = lambda pattern, y, m, d: F.try_to_date(F.concat_ws("-", part(pattern, y), _month_number(part(pattern, m)).cast("string"), d), "yyyy-M-d")
+    named = lambda pattern, m: _month_number(part(pattern, m)) > 0
+    return (
+        F.when(~text.rlike("[0-9]{4}"), None)
+        .when(iso != "", F.try_to_date(iso, "yyyy-MM-dd"))
+        .when(named(DAY_FIRST, 2), day(DAY_FIRST, 3, 2, part(DAY_FIRST, 1)))
+        .when(named(MONTH_FIRST, 1), day(MONTH_FIRST, 3, 1, part(MONTH_FIRST, 2)))
+        .when(named(MONTH_YEAR, 1), day(MONTH_YEAR, 2, 1, F.lit("1")))
+    )
+
+
+def _weekday_index(name: Column) -> Column:
+    """Monday: 0; from the first three letters."""
+    return F.array_position(F.array(*(F.lit(w[:3].lower()) for w in WEEKDAYS)), F.lower(F.substring(name, 1, 3))) - 1
+
+
 def resolve_before(text: Column) -> Column:
-    """The date of "N <weekday>s before X" or "N days, weeks or weekends before X"; null for other texts."""
-    pattern = r"(?i)^(?:the\s+)?(?:([0-9]+|one|two|three|four|five|six|seven|eight|nine|ten)\s+)?(monday|tuesday|wednesday|thursday|friday|saturday|sunday|day|week|weekend)s?\s+before\s+(.+)$"
-    number, unit, rest = (F.lower(F.regexp_extract(text, pattern, i)) for i in (1, 2, 3))
-    n = F.when(number == "", 1).otherwise(F.coalesce(number.try_cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, NUMBERS)), number), F.lit(0)).cast("int")))
-    day = parsed_date(rest)
-    index = F.array_position(F.array(*(F.lit(w.lower()) for w in WEEKDAYS)), unit) - 1
-    weekday = F.date_sub(weekday_near(day, F.greatest(index, F.lit(0)), F.lit(True)), ((n - 1) * 7).cast("int"))
-    weekend = F.date_sub(weekday_near(day, F.lit(5), F.lit(True)), ((n - 1) * 7).cast("int"))
-    return F.when(unit == "day", F.date_sub(day, n.cast("int"))).when(unit == "week", F.date_sub(day, (n * 7).cast("int"))).when(unit == "weekend", weekend).when(unit != "", weekday)
+    """The date of "N <weekday>s before X" or "N days, weeks or weekends before X" anywhere in a text; null if neither."""
+    count = lambda word: F.coalesce(word.try_cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, COUNTS)), word), F.lit(0)).cast("int"), F.lit(1))
+    day_of = lambda pattern: absolute_date(F.regexp_extract(text, pattern, 3))
+    part = lambda pattern, i: F.lower(F.regexp_extract(text, pattern, i))
+    weeks = lambda n: ((n - 1) * 7).cast("int")
+    # a weekday first: its last letters are a unit as well
+    name, n = part(WEEKDAYS_BEFORE, 2), count(part(WEEKDAYS_BEFORE, 1))
+    weekday = bound(day_of(WEEKDAYS_BEFORE), lambda day: F.date_sub(weekday_near(day, F.greatest(_weekday_index(name), F.lit(0)), F.lit(True)), weeks(n)))
+
+    def of_unit(x: Column) -> Column:
+        base, m = x["base"], x["m"]
+        weekend = F.date_sub(weekday_near(base, F.lit(5), F.lit(True)), weeks(m))
+        return F.when(x["unit"] == "day", F.date_sub(base, m)).when(x["unit"] == "week", F.date_sub(base, (m * 7).cast("int"))).when(x["unit"] == "weekend", weekend)
+
+    units = F.struct(part(UNITS_BEFORE, 2).alias("unit"), count(part(UNITS_BEFORE, 1)).alias("m"), day_of(UNITS_BEFORE).alias("base"))
+    return F.when(~F.lower(text).contains("before"), None).when(name != "", weekday).otherwise(bound(units, of_unit))
+
+
+def resolve_anchored(text: Column) -> Column:
+    """The date of "<relative> (anchor: <date>)", as relative times are stored; null for other texts.
+
+    A week, weekend, weekday or night is always the one before the anchor, also after "next".
+    """
+
+    def resolved(x: Column) -> Column:
+        said, anchor = x["said"], x["anchor"]
+        name = F.regexp_extract(said, ANY_WEEKDAY, 1)
+        turn = F.when(said.startswith("last"), -1).when(said.startswith("next"), 1).otherwise(0)
+        # 29 February has no counterpart in the years beside it
+        year = F.try_to_date(F.concat_ws("-", (F.year(anchor) + turn).cast("string"), F.month(anchor).cast("string"), F.dayofmonth(anchor).cast("string")), "yyyy-M-d")
+        return (
+            F.when(name != "", weekday_near(anchor, F.greatest(_weekday_index(name), F.lit(0)), F.lit(True)))
+            .when(said.contains("weekend"), weekday_near(anchor, F.lit(5), F.lit(True)))
+            .when(said.contains("week"), F.date_sub(anchor, 7))
+            .when(said.contains("night"), F.date_sub(anchor, 1))
+            .when(said.contains("month"), F.add_months(F.trunc(anchor, "MM"), turn))
+            .when(said.contains("year"), year)
+            .when(said.contains("day"), anchor)
+        )
+
+    parts = F.struct(F.lower(F.trim(F.regexp_extract(text, ANCHORED, 1))).alias("said"), absolute_date(F.regexp_extract(text, ANCHORED, 2)).alias("anchor"))
+    return F.when(F.lower(text).contains("(anchor:"), bound(parts, lambda x: F.when(x["said"] != "", resolved(x))))
 
 
 def answer_date(text: Column) -> Column:
-    return F.coalesce(resolve_before(text), parsed_date(text))
+    """The date that an answer states: stored with an anchor, relative to a date, or absolute."""
+    return F.coalesce(resolve_anchored(text), resolve_before(text), absolute_date(text))
 
 
 def temporal_verdict(reference: Column, candidate: Column) -> Column:
-    """no date, SAME (a day's tolerance for weekends), or the days apart."""
-    a, b = answer_date(reference), answer_date(candidate)
-    apart = F.abs(F.datediff(a, b))
-    loose = F.when(F.lower(F.concat_ws(" ", reference, candidate)).contains("weekend"), 1).otherwise(0)
-    return F.when(a.isNull() | b.isNull(), "no date").when(apart <= loose, "SAME").otherwise(F.concat(F.lit("differ by "), apart.cast("string")))
+    """Of a reference that is relative to a date: no date, SAME (a day's tolerance for weekends), or the days apart; else empty."""
+    loose = F.when(F.lower(reference).contains("weekend"), 1).otherwise(0)
+
+    def verdict(x: Column) -> Column:
+        apart = F.abs(F.datediff(x["a"], x["b"]))
+        return F.when(x["a"].isNull(), "").when(x["b"].isNull(), "no date").when(apart <= loose, "SAME").otherwise(F.concat(F.lit("differ by "), apart.cast("string")))
+
+    return bound(F.struct(resolve_before(reference).alias("a"), answer_date(candidate).alias("b")), verdict)
 
 
 def iso_of_millis(ms: Column) -> Column:

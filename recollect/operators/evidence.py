@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,24 +28,39 @@ def validate(records: DataFrame, pos: str, content: str = "content", source: str
     """records with status (valid, repaired or rejected), reason, score and identity; of equal identities the first stays."""
     own = identity(F.col(record_id) if record_id else F.lit(None).cast("string"), F.col(content), F.lit(None).cast("string"))
     rows = records.withColumns({"reason": rejection(F.col(content), F.col(source)), "identity": own})
-    # only valid rows compete for an identity, and each takes part in one group of its own
-    order = Window.partitionBy("identity", F.col("reason").isNull()).orderBy(pos)
-    again = F.row_number().over(order) > 1
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(again & F.col("identity").isNotNull() & F.col("reason").isNull(), "duplicate")))
+    # only valid rows compete for an identity; those that do not stay out of the groups
+    competes = F.col("reason").isNull() & F.col("identity").isNotNull()
+    first = rows.where(competes).groupBy("identity").agg(F.min(pos).alias("_first"))
+    marked = rows.join(first, "identity", "left")
+    marked = marked.withColumn("reason", F.coalesce("reason", F.when(competes & (F.col(pos) > F.col("_first")), "duplicate"))).drop("_first")
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col(score).isNull(), "repaired").otherwise("valid")
-    return rows.withColumns({"status": status, score: F.bround(X.rescaled_score(F.col(score)), 4)})
-
-
-def evidence_state(records: DataFrame, group: str, content: str = "content") -> DataFrame:
-    """Lines, distinct identities, duplicates, bytes, and a fingerprint that does not depend on order."""
-    rows = records.withColumn("_i", identity(F.lit(None).cast("string"), F.col(content), F.lit(None).cast("string")))
-    each = F.sha2(F.coalesce("_i", F.lit("")), 256)
-    return rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.countDistinct("_i").alias("n_unique"),
-        (F.count("_i") - F.countDistinct("_i")).alias("n_duplicates"),
-        F.sum(F.octet_length(content) + 1).alias("n_bytes"),
-        F.bit_xor(F.conv(F.substring(each, 1, 15), 16, 10).cast("long")).alias("fingerprint"),
+    return marked.withColumns({"status": status, score: F.bround(X.rescaled_score(F.col(score)), 4)}).select(*records.columns, "reason", "identity", "status")
+
+
+def evidence_report(validated: DataFrame, *groups: str) -> DataFrame:
+    """Rows of validate() counted by status."""
+    return validated.groupBy(*groups).agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("valid", "repaired", "rejected")), F.count_if(F.col("reason") == "duplicate").alias("n_duplicates"))
+
+
+def evidence_state(records: DataFrame, group: str, pos: str, content: str = "content", record_id: str | None = None) -> DataFrame:
+    """Lines, distinct identities, duplicates, bytes, and a fingerprint of each evidence file.
+
+    The fingerprint is sixteen digits of the SHA-256 of the distinct (identity, first body) pairs in order; a body that
+    changes changes it. A file is the evidence of one question, so its pairs are few.
+    """
+    own = identity(F.col(record_id) if record_id else F.lit(None).cast("string"), F.col(content), F.lit(None).cast("string"))
+    rows = records.select(F.col(group), F.col(pos).alias("_pos"), F.col(content).alias("_body"), own.alias("_i"))
+    lines = rows.groupBy(group, "_i").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_body") + 1).alias("bytes"), F.coalesce(F.min_by("_body", "_pos"), F.lit("")).alias("body"))
+    known = F.col("_i").isNotNull()
+    pairs = F.array_sort(F.collect_list(F.when(known, F.struct("_i", "body"))))
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["_i"], F.lit("\u0000"), p["body"], F.lit("\u0001"))), "")
+    digest = F.when(F.count_if(known) == 0, "").otherwise(F.substring(F.sha2(joined.cast("binary"), 256), 1, 16))
+    return lines.groupBy(group).agg(
+        F.sum("n").alias("n_lines"),
+        F.count_if(known).alias("n_unique"),
+        F.coalesce(F.sum(F.when(known, F.col("n") - 1)), F.lit(0)).alias("n_duplicates"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("n_bytes"),
+        digest.alias("fingerprint"),
     )
 
 

@@ -12,7 +12,7 @@ LAYERS = {"atom": 1, "msg": 2, "summary": 3}
 def keyword_search(records: DataFrame, pattern: str, text: str = "text", layer: str = "layer", pos: str = "id") -> DataFrame:
     """Records that match, ignoring case (| separates alternatives), ranked by layer and then position."""
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv)), F.col(layer)), F.lit(len(LAYERS) + 1))
-    return records.where(F.lower(F.col(text)).rlike(pattern.lower())).withColumn("layer_rank", rank).orderBy("layer_rank", pos)
+    return records.where(F.col(text).rlike(f"(?i){pattern}")).withColumn("layer_rank", rank).orderBy("layer_rank", pos)
 
 
 def provenance(records: DataFrame, targets: DataFrame, key: str, source: str, target: str, text: str) -> DataFrame:
@@ -112,3 +112,64 @@ def interleave(first: DataFrame, second: DataFrame, rank: str = "rank") -> DataF
     """a1, b1, a2, b2, ... of two ranked lists."""
     both = first.withColumn("side", F.lit(0)).unionByName(second.withColumn("side", F.lit(1)))
     return both.orderBy(rank, "side")
+
+
+def speakers_in_order(rows: DataFrame, group: str, role: str, *order: str) -> DataFrame:
+    """(group, speakers): the distinct roles of each group in the order of their first appearance."""
+    known = rows.where(F.trim(F.coalesce(F.col(role), F.lit(""))) != "")
+    firsts = known.groupBy(group, F.trim(role).alias("_role")).agg(F.min(F.struct(*order)).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", "_role")))
+    return firsts.groupBy(group).agg(F.transform(listed, lambda x: x["_role"]).alias("speakers"))
+
+
+def roles_by_count(rows: DataFrame, group: str, role: str, *order: str) -> DataFrame:
+    """(group, roles): (role, n) of each group, most frequent first, ties by first appearance."""
+    known = rows.where(F.trim(F.coalesce(F.col(role), F.lit(""))) != "")
+    counts = known.groupBy(group, F.trim(role).alias("_role")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("_less"), "_at", "_role", "_n")))
+    return counts.groupBy(group).agg(F.transform(listed, lambda x: F.struct(x["_role"].alias("role"), x["_n"].alias("n"))).alias("roles"))
+
+
+# Fixed value: the first line of a session index.
+INDEX_HEAD = "The material is split into these sessions (each has a summary in summem.jsonl):"
+
+
+def session_index(roster: DataFrame, group: str, session: str, time: str) -> DataFrame:
+    """(group, shown): one line for each session with the time of its first message."""
+    line = F.concat(F.lit("\n  session_"), F.col(session).cast("string"), F.when(F.coalesce(F.col(time), F.lit("")) == "", "").otherwise(F.concat(F.lit("  ("), F.col(time), F.lit(")"))))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(session).alias("s"), line.alias("line"))))
+    return roster.groupBy(group).agg(F.concat(F.lit(INDEX_HEAD), F.array_join(F.transform(listed, lambda x: x["line"]), "")).alias("shown"))
+
+
+def tag_index(tagged: DataFrame, tag: str, **options) -> DataFrame:
+    """(key, line): the most frequent values of each key, as a prompt shows them."""
+    ranked = top_values(tagged, tag, **options)
+    shown = F.concat("key", F.lit(":"), "value", F.lit("("), F.col("n").cast("string"), F.lit(")"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", shown.alias("shown"))))
+    lines = ranked.groupBy("key").agg(F.array_join(F.transform(listed, lambda x: x["shown"]), "  ").alias("shown"))
+    return lines.select("key", F.concat(F.lit("  "), F.rpad("key", 11, " "), F.lit(" "), "shown").alias("line"))
+
+
+def tagged_with(records: DataFrame, tags: str, wanted: str) -> DataFrame:
+    """Records that carry a tag such as activity:camping."""
+    return records.where(F.array_contains(tags, wanted))
+
+
+def of_session(records: DataFrame, record_id: str, session: int) -> DataFrame:
+    """Records whose id is of a session: its messages, atoms and summary."""
+    return records.where(F.col(record_id).startswith(f"session_{session}_"))
+
+
+def paged(lines: DataFrame, group: str, pos: str, text: str, offset: int = 1, limit: int | None = None, most_lines: int = 2000, most_bytes: int = 50 * 1024) -> DataFrame:
+    """Lines from number `offset` on (from 1), `limit` of them at most, then cut as truncate_head() does."""
+    numbered = lines.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(pos)))
+    rows = numbered.where(F.col("_n") >= offset)
+    rows = rows.where(F.col("_n") < offset + limit) if limit else rows
+    return truncate_head(rows.drop("_n"), group, pos, text, most_lines, most_bytes)
+
+
+def truncate_tail(lines: DataFrame, group: str, pos: str, text: str, most_lines: int, most_bytes: int) -> DataFrame:
+    """Last lines of each group within a number of lines and of bytes, a line break counted with each."""
+    back = Window.partitionBy(group).orderBy(F.col(pos).desc())
+    sized = lines.withColumns({"line_no": F.row_number().over(back), "bytes_upto": F.sum(F.octet_length(text) + 1).over(back.rowsBetween(Window.unboundedPreceding, 0))})
+    return sized.where((F.col("line_no") <= most_lines) & (F.col("bytes_upto") <= most_bytes))

@@ -3,24 +3,18 @@
 from __future__ import annotations
 
 import json
-import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-_WIDE = re.compile(X.WIDE)
-
-
-def token_cost(text: str) -> int:
-    """As estimate_tokens: one for a wide character, one for four others, rounded up."""
-    wide = len(_WIDE.findall(text))
-    return wide + (len(text) - wide + 3) // 4
+token_cost = X.token_cost
 
 
 def packed(costs: list[int], budget: int, most: int, overlap: int) -> list[list[int]]:
@@ -63,7 +57,7 @@ def pack_sessions(rows: DataFrame, session: str, pos: str, text: str, budget: in
 def _pieces(line: str, budget: int) -> Iterator[str]:
     """A line cut by characters so that each piece fits, measured on the piece itself."""
     # a wide character costs 4 quarters, any other one quarter; a piece fits while its quarters do
-    ends = list(accumulate((4 if _WIDE.match(c) else 1 for c in line), initial=0))
+    ends = list(accumulate((4 if wide else 1 for wide in X.wide_flags(line)), initial=0))
     at = 0
     while at < len(line):
         end = max(at + 1, bisect_right(ends, ends[at] + 4 * budget) - 1)
@@ -141,6 +135,17 @@ def _is_object(text: str) -> bool:
         return False
 
 
+def salvaged_records(c: Column) -> Column:
+    """(records, n_dropped) of salvaged() for each text."""
+    kind = pa.struct([("records", pa.list_(pa.string())), ("n_dropped", pa.int32())])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([dict(zip(("records", "n_dropped"), salvaged(x or ""), strict=True)) for x in batch.to_pylist()], kind)
+
+    return F.arrow_udf(run, "struct<records:array<string>,n_dropped:int>")(c.cast("string"))
+
+
 def uncovered(messages: DataFrame, covered: DataFrame, session: str, key: str) -> DataFrame:
     """Sessions with messages that no atom covers, and how many."""
     open_ = messages.select(session, key).join(covered.select(key), key, "left_anti")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
 def with_signature(facts: DataFrame, text: str) -> DataFrame:
-    return facts.withColumns(X.signature(F.col(text)))
+    # the tokens are a column of their own first, so that what follows from them does not compute them again
+    return facts.withColumn("tokens", X.tokens(F.col(text))).withColumns({k: c for k, c in X.signature(F.col(text), F.col("tokens")).items() if k != "tokens"})
 
 
 def exact_dedup(facts: DataFrame, key: str, text: str, strict: bool = False) -> DataFrame:
@@ -32,26 +33,34 @@ def signature_classes(facts: DataFrame, key: str, text: str) -> tuple[DataFrame,
     return members, classes
 
 
+def _prefixes(sets: DataFrame, rarity: DataFrame, least: Column) -> DataFrame:
+    """(class_id, proper_key, t, n): of each set of n tokens, the rarest that it cannot leave out of `least` shared ones."""
+    tokens = sets.select("class_id", "proper_key", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    order = Window.partitionBy("class_id").orderBy("df", "t")
+    ranked = tokens.join(rarity, "t").withColumn("r", F.row_number().over(order))
+    return ranked.where(F.col("r") <= F.col("n") - least + 1).select("class_id", "proper_key", "t", "n")
+
+
+def _meeting(prefixes: DataFrame, share: float) -> DataFrame:
+    """Pairs (a < b) with a token of both prefixes, of sets whose sizes allow the share."""
+    left = prefixes.select(F.col("class_id").alias("a"), "proper_key", "t", F.col("n").alias("an"))
+    right = prefixes.select(F.col("class_id").alias("b"), "proper_key", "t", F.col("n").alias("bn"))
+    sizes = F.least("an", "bn") >= F.greatest("an", "bn") * share - 1e-9
+    return left.join(right, ["proper_key", "t"]).where((F.col("a") < F.col("b")) & sizes).select("a", "b")
+
+
 def candidate_pairs(classes: DataFrame) -> DataFrame:
     """Pairs of classes (a < b) that can pass the predicate, without a join over all of a key's rows.
 
-    Proper nouns must be equal. For token similarity, both sides' prefixes in order of token frequency must share
-    a token: a set of n tokens can leave out all but the first n - ceil(0.6 n) + 1. Reworded pairs must share
-    core tokens, and only rows with a sentiment verb take part.
+    Proper nouns must be equal. Both sides' prefixes in order of token frequency must share a token: for token
+    similarity a set of n shares ceil(0.6 n) at least; reworded pairs, of which both have a sentiment verb, share three
+    core tokens and a quarter of each side.
     """
-    tokens = classes.select("class_id", "proper_key", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    rarity = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("class_id").orderBy("df", "t")
-    ranked = tokens.join(rarity, "t").withColumn("r", F.row_number().over(order))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * X.SAME_JACCARD - 1e-9) + 1).select("class_id", "proper_key", "t", "n")
-    left = prefix.select(F.col("class_id").alias("a"), "proper_key", "t", F.col("n").alias("an"))
-    right = prefix.select(F.col("class_id").alias("b"), "proper_key", "t", F.col("n").alias("bn"))
-    sizes = F.least("an", "bn") >= F.greatest("an", "bn") * X.SAME_JACCARD - 1e-9
-    alike = left.join(right, ["proper_key", "t"]).where(F.col("a") < F.col("b")).where(sizes).select("a", "b")
-    cores = classes.where("sentiment").select("class_id", "proper_key", F.explode("core").alias("t"))
-    reworded = (
-        cores.withColumnRenamed("class_id", "a").join(cores.withColumnRenamed("class_id", "b"), ["proper_key", "t"]).where("a < b").groupBy("a", "b").count().where(F.col("count") >= X.SAME_CORE).select("a", "b")
-    )
+    rarity = classes.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    n = F.col("n")
+    alike = _meeting(_prefixes(classes, rarity, F.ceil(n * X.SAME_JACCARD - 1e-9)), X.SAME_JACCARD)
+    cores = classes.where(F.col("sentiment") & (F.size("core") >= X.SAME_CORE)).select("class_id", "proper_key", F.col("core").alias("tokens"))
+    reworded = _meeting(_prefixes(cores, rarity, F.greatest(F.ceil(n * X.SAME_CORE_SHARE - 1e-9), F.lit(X.SAME_CORE))), X.SAME_CORE_SHARE)
     return alike.unionByName(reworded).distinct()
 
 
@@ -75,8 +84,9 @@ def greedy_merge(facts: DataFrame, corpus: str, pos: str, text: str, sources: st
     """Keep-first merge in order of pos within each corpus: an exact key, else the first fact that says the same.
 
     The kept fact takes over the sources of those it absorbs, first ones first. The relation is not transitive,
-    so order decides; facts can only meet within equal proper nouns or equal keys, and groups of those are merged
-    apart. Facts with an empty dedup key compare by their lower-cased text.
+    so order decides, and a corpus (the facts of one conversation) is merged by one task. Within it facts meet only
+    those of equal key, or of equal proper nouns with a token in common. Facts with an empty dedup key compare by their
+    lower-cased text.
     """
     signed = with_signature(facts.select(corpus, pos, text, sources), text).withColumn("key", X.kept_dedup_key(F.col(text)))
     kinds = facts.schema

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 # Categories of questions.
 CATEGORIES = {1: "multi_hop", 2: "temporal", 3: "open_domain", 4: "single_hop", 5: "adversarial_skip"}
 
@@ -77,3 +79,13 @@ def recall_comparison(first: DataFrame, second: DataFrame, item: str) -> DataFra
         F.count_if(~F.col("c1") & F.col("c2")).alias("only_second"),
         F.count_if(~F.col("c1") & ~F.col("c2")).alias("both_wrong"),
     )
+
+
+def token_f1_by_row(rows: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
+    """(key, f1): as text.token_f1, for texts of any length: tokens are counted by row, not compared with one another."""
+    side = lambda c, i: rows.select(F.col(key), F.explode(X.answer_tokens(F.col(c))).alias("t"), F.lit(i).alias("r"))
+    counts = side(reference, 1).unionByName(side(candidate, 0)).groupBy(key, "t").agg(F.sum("r").alias("in_r"), F.sum(1 - F.col("r")).alias("in_c"))
+    sums = counts.groupBy(key).agg(F.sum(F.least("in_r", "in_c")).alias("shared"), F.sum("in_r").alias("n_r"), F.sum("in_c").alias("n_c"))
+    f1 = F.when((F.col("n_r") == 0) | (F.col("n_c") == 0), (F.col("n_r") == F.col("n_c")).cast("double")).otherwise(F.lit(2.0) * F.col("shared") / (F.col("n_r") + F.col("n_c")))
+    # a row without any token on either side says the same on both
+    return rows.select(key).join(sums.select(key, f1.alias("f1")), key, "left").fillna(1.0, ["f1"])

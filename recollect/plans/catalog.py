@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
-from ..operators import layers, memory, resolve, scoring
+from ..operators import layers, memory, resolve, scoring, store
 from ..schema import messages, table
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from ..sources import jsonl
+from ..streaming import ingest
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
@@ -164,7 +153,8 @@ FROM t JOIN a USING (id) LEFT JOIN o USING (id)"""
 )
 def answer_scores(spark, folder):
     rows = _answers(spark, folder)
-    return rows.select("id", F.round(X.token_f1(F.col("reference"), F.col("candidate")), 6).alias("f1"), X.exact_match(F.col("reference"), F.col("candidate")).alias("exact"))
+    exact = rows.select("id", X.exact_match(F.col("reference"), F.col("candidate")).alias("exact"))
+    return scoring.token_f1_by_row(rows, "id", "reference", "candidate").join(exact, "id").select("id", F.round("f1", 6).alias("f1"), "exact")
 
 
 @query("SELECT doc_id, CAST(floor((length(text) + 3) / 4) AS BIGINT) AS n_tokens FROM documents")
@@ -174,10 +164,10 @@ def estimate_tokens(spark, folder):
 
 @query(
     """SELECT doc_id, regexp_matches(lower(text), '\\b(yesterday|today|tomorrow|ago|last|next|past|recent|recently|soon|future|now|currently|presently|before|after|since|until|during)\\b|[0-9]+\\s+(day|week|month|year)s?(\\s+ago)?') AS time_phrase,
-       length(text) - length(translate(text, '.!?', '')) > 1 AS several_sentences FROM documents WHERE lang = 'en'"""
+       length(text) - length(translate(text, '.!?', '')) > 1 AS several_sentences FROM documents"""
 )
 def fact_quality(spark, folder):
-    rows = table(spark, folder, "documents").where("lang = 'en'")
+    rows = table(spark, folder, "documents")
     return rows.select("doc_id", X.has_time_phrase(F.col("text")).alias("time_phrase"), X.several_sentences(F.col("text")).alias("several_sentences"))
 
 
@@ -203,17 +193,62 @@ def anchored_date_resolve(spark, folder):
     return D.with_resolved_time(rows.select(F.col("o_orderkey").alias("id"), phrase.alias("phrase"), anchor.alias("anchor")), F.col("phrase"), F.col("anchor"), "stored").select("id", "stored")
 
 
+#: Replies that state a date, and the date each states for a shown day d.
+STATED = {
+    "%s": "d",
+    "It was two weeks before %s": "d - 14",
+    "a week before %s": "d - 7",
+    "the Friday before %s": "d - CAST((isodow(d) + 1) % 7 + 1 AS INTEGER)",
+    "three Mondays before %s": "d - CAST((isodow(d) + 5) % 7 + 1 + 14 AS INTEGER)",
+    "The weekend before %s": "d - CAST(isodow(d) % 7 + 1 AS INTEGER)",
+    "last week (anchor: %s)": "d - 7",
+    "next week (anchor: %s)": "d - 7",
+    "last Tuesday (anchor: 1:56 pm on %s)": "d - CAST((isodow(d) + 4) % 7 + 1 AS INTEGER)",
+    "last month (anchor: %s)": "CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE)",
+    "next month (anchor: %s)": "CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE)",
+    "last night (anchor: %s)": "d - 1",
+    "the day of the move (anchor: %s)": "d",
+    "last year (anchor: %s)": "coalesce(TRY_CAST((year(d) - 1) || strftime(d, '-%m-%d') AS DATE), d)",
+    "recently (anchor: %s)": "d",
+    "nothing is known": "CAST(NULL AS DATE)",
+}
+#: How the day itself is shown: day first, month first, with an abbreviated month, and as ISO.
+SHAPES = ["d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd"]
+
+
+def _stated(spark, folder) -> DataFrame:
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
+    shape = F.expr("cast(id div 16 % 4 as int)")
+    shown = F.coalesce(*(F.when(shape == i, F.date_format("d", f)) for i, f in enumerate(SHAPES)))
+    text = F.element_at(F.array(*map(F.lit, STATED)), (F.col("id") % len(STATED) + 1).cast("int"))
+    return rows.withColumn("said", F.replace(text, F.lit("%s"), shown))
+
+
+_STATED_SQL = "CASE id % 16 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(STATED.values())) + " END"
+
+
+@query(f"SELECT id, {_STATED_SQL} AS day FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)")
+def answer_date_resolve(spark, folder):
+    return _stated(spark, folder).select("id", D.answer_date(F.col("said")).alias("day"))
+
+
+@query(f"SELECT id, CASE WHEN id % 16 BETWEEN 1 AND 5 THEN {_STATED_SQL} END AS day FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)")
+def relative_before_resolve(spark, folder):
+    return _stated(spark, folder).select("id", D.resolve_before(F.col("said")).alias("day"))
+
+
 @query(
-    """WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT id, CASE id % 4
-    WHEN 0 THEN CASE WHEN isodow(d) = 5 THEN 'differ by 7' ELSE 'differ by ' || ((isodow(d) + 2) % 7) END
-    WHEN 1 THEN 'SAME' WHEN 2 THEN 'differ by 14' ELSE 'no date' END AS verdict FROM o"""
+    f"""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders), s AS (SELECT id, d, {_STATED_SQL} AS said FROM o),
+v AS (SELECT id, said, d - CAST(isodow(d) % 7 + 1 AS INTEGER) AS weekend, d - 14 AS weeks FROM s)
+SELECT id, CASE WHEN id % 3 = 0 THEN '' WHEN said IS NULL THEN 'no date'
+  WHEN abs(said - CASE id % 3 WHEN 1 THEN weekend ELSE weeks END) <= CASE id % 3 WHEN 1 THEN 1 ELSE 0 END THEN 'SAME'
+  ELSE 'differ by ' || abs(said - CASE id % 3 WHEN 1 THEN weekend ELSE weeks END) END AS verdict FROM v"""
 )
 def temporal_verdict(spark, folder):
-    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "d MMMM yyyy").alias("shown"))
-    case = F.col("id") % 4
-    candidate = F.when(case == 0, F.concat(F.lit("the Friday before "), F.col("shown"))).when(case == 1, F.col("shown")).when(case == 2, F.concat(F.lit("two weeks before "), F.col("shown"))).otherwise("unknown")
-    return rows.select("id", D.temporal_verdict(F.col("shown"), candidate).alias("verdict"))
+    rows = _stated(spark, folder)
+    case, shown = F.col("id") % 3, F.date_format("d", "d MMMM yyyy")
+    reference = F.when(case == 0, shown).when(case == 1, F.concat(F.lit("the weekend before "), shown)).otherwise(F.concat(F.lit("two weeks before "), shown))
+    return rows.select("id", D.temporal_verdict(reference, F.col("said")).alias("verdict"))
 
 
 @query("SELECT event_id, round(CASE WHEN value > 10 THEN least(value / 100, 1.0) WHEN value > 1 THEN value / 10 ELSE greatest(value, 0.0) END, 6) AS score FROM events")
@@ -290,8 +325,8 @@ def recall_comparison(spark, folder):
 
 @query("SELECT user_id, json_extract_string(props, '$.k') AS request_id, min_by(event_id, struct_pack(ts := ts, e := event_id)) AS event_id, count(*) AS n_received FROM events GROUP BY ALL")
 def request_dedup(spark, folder):
-    rows = table(spark, folder, "events").withColumn("request_id", F.get_json_object("props", "$.k"))
-    return rows.groupBy("user_id", "request_id").agg(F.min(F.struct("ts", "event_id")).alias("first"), F.count(F.lit(1)).alias("n_received")).select("user_id", "request_id", "first.event_id", "n_received")
+    rows = table(spark, folder, "events").select("user_id", F.get_json_object("props", "$.k").alias("request_id"), "ts", "event_id")
+    return store.first_requests(rows, "user_id", "request_id", "ts", "event_id").drop("ts")
 
 
 @query(
@@ -300,14 +335,7 @@ s AS (SELECT *, min(pos) OVER (PARTITION BY user_id, event_type) AS first_pos FR
 SELECT event_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY first_pos) AS INTEGER) AS session_no, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY pos) AS INTEGER) AS msg_no FROM s"""
 )
 def session_numbering(spark, folder):
-    by_user = Window.partitionBy("user_id")
-    rows = table(spark, folder, "events").withColumn("pos", F.struct("ts", "event_id"))
-    rows = rows.withColumn("first_pos", F.min("pos").over(Window.partitionBy("user_id", "event_type")))
-    return rows.select(
-        "event_id",
-        F.dense_rank().over(by_user.orderBy("first_pos")).alias("session_no"),
-        F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("pos")).alias("msg_no"),
-    )
+    return store.number_sessions(table(spark, folder, "events"), "user_id", "event_type", "ts", "event_id").select("event_id", "session_no", "msg_no")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -413,19 +441,15 @@ FROM events GROUP BY event_type"""
 def json_lines_report(spark, folder):
     line = F.when(F.col("event_id") % 10 == 0, "  ").when(F.col("event_id") % 10 == 1, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
     rows = table(spark, folder, "events").select("event_type", line.alias("line"))
-    blank = F.trim("line") == ""
-    parsed = F.try_parse_json("line")
-    return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & parsed.isNull()).alias("n_bad"), F.count_if(~blank & parsed.isNotNull()).alias("n_records")
-    )
+    return jsonl.report(rows, "line", "event_type").withColumn("n_lines", F.col("n_records") + F.col("n_bad") + F.col("n_blank"))
 
 
 @query(
     """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"""
 )
 def events_tumbling(spark, folder):
-    rows = table(spark, folder, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+    rows = ingest.tumbling_counts(table(spark, folder, "events"), "ts", "1 hour", "1 hour", "event_type", total="value")
+    return rows.select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT conv_id AS session_no, count(*) AS n_uncovered FROM conversations WHERE turn % 4 = 3 GROUP BY conv_id")
@@ -463,16 +487,19 @@ def session_packing(spark, folder):
 
 
 @query(
-    """WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents WHERE lang = 'en'),
+    """WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents),
 w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(sentence, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> '')[2:]) AS word FROM s),
 e AS (SELECT DISTINCT doc_id, lower(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g')) AS entity FROM w WHERE regexp_full_match(regexp_replace(word, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g'), '[A-Z][a-zA-Z]{2,}')),
-v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS entity FROM conversations)
-SELECT doc_id, entity FROM e WHERE entity NOT IN (SELECT entity FROM v)"""
+v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS entity FROM conversations),
+c AS (SELECT conv_id AS doc_id, lower(string_agg(text, ' ')) AS cited FROM conversations GROUP BY conv_id)
+SELECT e.doc_id, entity FROM e LEFT JOIN c USING (doc_id) WHERE NOT coalesce(contains(cited, entity), false) AND entity NOT IN (SELECT entity FROM v)"""
 )
 def entity_audit(spark, folder):
-    facts = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
-    words = table(spark, folder, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    return memory.unsupported_entities(facts, facts.select("doc_id", F.lit("").alias("source_text")), words, "doc_id", "text")
+    facts = table(spark, folder, "documents").select("doc_id", "text")
+    turns = table(spark, folder, "conversations")
+    words = turns.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    # a document cites the conversation of its number
+    return memory.unsupported_entities(facts, turns.select(F.col("conv_id").alias("doc_id"), F.col("text").alias("source_text")), words, "doc_id", "text")
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.replies import strict_json
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line) of all lines."""
@@ -19,18 +21,18 @@ def parse(lines: DataFrame, schema: T.StructType, line: str = "line") -> DataFra
     """
     body = F.trim(line)
     many = F.from_json(body, T.ArrayType(schema), {"mode": "PERMISSIVE"})
-    kind = F.when(body == "", "blank").when(F.try_parse_json(body).isNull(), "bad").when(body.startswith("["), "array").when(body.startswith("{"), "record").otherwise("bad")
+    kind = F.when(body == "", "blank").when(strict_json(body).isNull(), "bad").when(body.startswith("["), "array").when(body.startswith("{"), "record").otherwise("bad")
     rows = lines.withColumn("status", kind)
     one = F.array(F.from_json(body, schema))
     records = F.when(F.col("status") == "array", many).when(F.col("status") == "record", one).otherwise(F.array(F.lit(None).cast(schema)))
     return rows.select("*", F.explode_outer(records).alias("record"))
 
 
-def report(lines: DataFrame, line: str = "line") -> DataFrame:
+def report(lines: DataFrame, line: str = "line", *groups: str) -> DataFrame:
     """n_records, n_bad and n_blank of lines."""
     body = F.trim(line)
-    good = F.try_parse_json(body).isNotNull() & body.rlike(r"^[\[{]")
-    return lines.agg(F.count_if((body != "") & good).alias("n_records"), F.count_if((body != "") & ~good).alias("n_bad"), F.count_if(body == "").alias("n_blank"))
+    good = strict_json(body).isNotNull() & body.rlike(r"^[\[{]")
+    return lines.groupBy(*groups).agg(F.count_if((body != "") & good).alias("n_records"), F.count_if((body != "") & ~good).alias("n_bad"), F.count_if(body == "").alias("n_blank"))
 
 
 def write_version(rows: DataFrame, folder: str, version: str) -> str:

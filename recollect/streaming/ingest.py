@@ -36,6 +36,7 @@ def append_messages(stream: DataFrame, target: str, checkpoint: str):
     return once(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tumbling_counts(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Counts per window and key, of a stream or a table; events later than `late` are left out of a stream."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
+def tumbling_counts(events: DataFrame, time: str, width: str, late: str, *keys: str, total: str | None = None) -> DataFrame:
+    """Counts (and sums of `total`) per window and key, of a stream or a table; events later than `late` are left out of a stream."""
+    sums = [F.sum(total).alias("total")] if total else []
+    return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), *sums)
