@@ -244,3 +244,59 @@ def _same_fact(a, b):
     left, right = x - u, y - v
     shared = len(left & right)
     return len(x & y) >= 0.6 * len(x | y) or bool(u and v and shared >= 3 and shared / len(left | right) >= 0.25)
+
+
+def test_packing_query_matches_a_plain_walk(spark):
+    from recollect.plans import registry
+    from recollect.schema import messages
+
+    folder, budget = "/root/testdata/sf0.001", 600
+    sessions = {}
+    for r in messages(spark, folder).orderBy("session_no", "msg_no").collect():
+        sessions.setdefault(r["session_no"], []).append((r["msg_no"], -(-len(r["text"] or "") // 4) + 1))
+    want = []
+    for number, rows in sessions.items():
+        groups, used = [[rows[0]]], rows[0][1]
+        for before, row in zip(rows, rows[1:], strict=False):
+            if used + row[1] > budget and len(groups) < 16:
+                groups.append([before] if before[1] + row[1] <= budget else [])
+                used = sum(c for _, c in groups[-1])
+            groups[-1].append(row)
+            used += row[1]
+        want += [(number, g, no) for g, own in enumerate(groups) for no, _ in own]
+    got = [tuple(r) for r in registry.QUERIES["session_packing"](spark, folder).select("session_no", "group", "msg_no").collect()]
+    assert sorted(got) == sorted(want) and max(g for _, g, _ in want) > 0
+
+
+def test_chunking_query_keeps_every_message_within_budget(spark):
+    import hashlib
+
+    from recollect.operators import memory
+    from recollect.plans import registry
+    from recollect.schema import messages
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["id"]: r["text"] or "" for r in messages(spark, folder).collect()}
+    got = {}
+    for r in registry.QUERIES["message_chunking"](spark, folder).collect():
+        got.setdefault(r["id"], []).append((r["chunk_no"], r["n_chars"], r["md5"]))
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        at, chunks = 0, memory.cut_message(text, 120, 30)
+        assert sorted(got[i]) == [(n, len(c), hashlib.md5(c.encode()).hexdigest()) for n, c in enumerate(chunks)]
+        for n, c in enumerate(chunks):
+            # each chunk begins where the one before ended, or up to its overlap earlier, and nothing is left out
+            start = max(j for j in range(len(text) + 1) if text.startswith(c, j) and j <= at)
+            assert memory.token_cost(c) <= 120 and (n == 0 or memory.token_cost(text[start:at]) <= 30)
+            at = start + len(c)
+        assert not text[at:].strip()
+
+
+def test_fingerprints_tell_states_apart(spark, tmp_path):
+    from recollect.sources import lenient
+
+    (tmp_path / "a.jsonl").write_text("one")
+    before = lenient.file_fingerprints(spark, str(tmp_path)).collect()
+    (tmp_path / "a.jsonl").write_text("two")
+    after = lenient.file_fingerprints(spark, str(tmp_path)).collect()
+    assert [r["size"] for r in before] == [3] and before[0]["digest"] != after[0]["digest"]
