@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import layers
+from ..operators import edits, layers
 from ..operators import store as S
 from ..schema import messages, table
 from .registry import query
@@ -154,3 +154,48 @@ def file_pages(spark, folder):
     shown = lambda rows, how: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("bytes_upto").alias("n_bytes")).select(F.lit(how).alias("how"), "doc_id", "n_lines", "n_bytes")
     page = shown(layers.paged(lines, "doc_id", "n", "line", 2, 4, most_bytes=900), "page")
     return page.unionByName(shown(layers.truncate_tail(lines, "doc_id", "n", "line", 5, 1500), "tail"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'one TWO three four ' || doc_id WHEN 1 THEN 'ONE two three FOUR ' || doc_id ELSE 'one two three four ' || doc_id END AS text,
+  CASE doc_id % 6 WHEN 2 THEN 'no match of edit 1' WHEN 3 THEN 'several matches of edit 1' WHEN 4 THEN 'edits overlap' WHEN 5 THEN 'nothing changed' ELSE '' END AS error FROM documents"""
+)
+def file_edits(spark, folder):
+    files = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("one two three four "), F.col("doc_id").cast("string")).alias("text"))
+    case = F.col("doc_id") % 6
+    edit = lambda no, old, new: F.struct(F.lit(no).alias("edit_no"), F.lit(old).alias("old"), F.lit(new).alias("new"))
+    chosen = (
+        F.when(case == 0, F.array(edit(1, "two", "TWO")))
+        .when(case == 1, F.array(edit(1, "four", "FOUR"), edit(2, "one", "ONE")))
+        .when(case == 2, F.array(edit(1, "six", "x")))
+        .when(case == 3, F.array(edit(1, "o", "x")))
+        .when(case == 4, F.array(edit(1, "one two", "x"), edit(2, "two three", "y")))
+        .otherwise(F.array(edit(1, "two", "two")))
+    )
+    return edits.with_edits(files, files.select("doc_id", F.explode(chosen).alias("e")).select("doc_id", "e.*"), "doc_id", "text")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'plain ' || doc_id WHEN 1 THEN 'a' || chr(10) || 'b ' || doc_id WHEN 2 THEN '[image: http://x/' || doc_id || ']' WHEN 3 THEN 't' || chr(10) || '[image: f.png]' WHEN 4 THEN '[image: <4 bytes>]' ELSE '[image]' END AS text FROM documents"""
+)
+def content_parts(spark, folder):
+    shapes = [
+        "plain {id}",
+        '["a", {"type": "text", "text": "b {id}"}, {"type": "text", "text": ""}]',
+        '[{"type": "image_url", "image_url": {"url": "http://x/{id}"}}]',
+        '[{"text": "t"}, {"file_name": "f.png"}, {"type": "other"}]',
+        '[{"type": "image", "data": "abcd"}]',
+        '[{"type": "image"}]',
+    ]
+    rows = table(spark, folder, "documents").select("doc_id")
+    content = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("{id}"), F.col("doc_id").cast("string"))
+    return rows.select("doc_id", edits.content_text(content).alias("text"))
+
+
+@query()
+def evidence_append(spark, folder):
+    """Short facts of odd documents appended to those of even ones, unless known from the same source."""
+    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)
+    facts = table(spark, folder, "documents").select("doc_id", F.array_join(words, " ").alias("fact"), F.array(F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).alias("source"))
+    out = edits.appended(facts.where("doc_id % 2 = 0"), facts.where("doc_id % 2 = 1"), "doc_id", "fact", "source")
+    return out.select("doc_id", F.md5("fact").alias("md5"))

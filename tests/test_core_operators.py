@@ -300,3 +300,45 @@ def test_fingerprints_tell_states_apart(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("two")
     after = lenient.file_fingerprints(spark, str(tmp_path)).collect()
     assert [r["size"] for r in before] == [3] and before[0]["digest"] != after[0]["digest"]
+
+
+def test_appended_evidence_matches_brute_force(spark):
+    from recollect.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    facts = {r["doc_id"]: " ".join(re.split(r"\s+", r["text"] or "")[:8]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    even = [i for i in facts if i % 2 == 0]
+    new = [a for a in facts if a % 2 and facts[a].strip(" ") and not any(a % 3 == b % 3 and _same_fact(facts[a], facts[b]) for b in even)]
+    got = [r["doc_id"] for r in registry.QUERIES["evidence_append"](spark, folder).collect()]
+    assert sorted(got) == sorted(even + new)
+
+
+def test_rewrites_keep_what_they_must(spark, tmp_path):
+    from recollect.operators import edits
+
+    kind = "u int, content string, status string"
+    good = spark.createDataFrame([(1, "a", "valid")], kind)
+    mixed = good.unionByName(spark.createDataFrame([(1, "b", "rejected"), (2, "c", "repaired")], kind))
+    folder = str(tmp_path / "evidence")
+    assert edits.write_normalized(good, folder, "1") is None
+    path = edits.write_normalized(mixed, folder, "1")
+    assert sorted(r["content"] for r in spark.read.json(path).collect()) == ["a", "c"]
+    assert [r["content"] for r in spark.read.json(f"{folder}/rejected/version=1").collect()] == ["b"]
+    with pytest.raises(ValueError, match="fewer rows"):
+        edits.guarded_rewrite(good, mixed, "u", str(tmp_path / "store"), "1")
+    assert spark.read.json(edits.guarded_rewrite(mixed, good, "u", str(tmp_path / "store"), "2")).count() == 3
+    assert spark.read.json(edits.write_summary(mixed.groupBy("u").count(), str(tmp_path / "sums"), "1")).count() == 2
+
+
+def test_ingest_goes_on_after_a_crash(spark, tmp_path):
+    """A batch that wrote its files and crashed before its commit writes the same files again."""
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    for r in ("a", "b"):
+        (tmp_path / "in" / f"{r}.json").write_text(json.dumps({"request_id": r, "user_id": "u", "session_id": "s", "messages": [{"role": "user", "content": r, "timestamp": 1}]}))
+    ingest.append_messages(ingest.requests(spark, source), target, state).awaitTermination()
+    # the commit of the batch is lost: the restarted run repeats it
+    for name in (tmp_path / "state" / "commits").iterdir():
+        name.unlink()
+    ingest.append_messages(ingest.requests(spark, source), target, state).awaitTermination()
+    assert sorted(r["content"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
