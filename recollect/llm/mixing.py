@@ -33,7 +33,7 @@ def word_count(text: Column) -> Column:
 def source_targets(cells: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row for each source: its words, and its target after capped shares are given to the others by weight."""
     sources = cells.groupBy("_src").agg(F.sum(F.col("_n") * F.col("_size")).alias("_words"), F.sum("_n").alias("_docs"), F.min(F.when(F.col("_size") > 0, F.col("_size"))).alias("_least"))
-    # one row for each source from here on
+    # one row for each source from here on: as many as there are names of sources, in one task
     by_name = Window.orderBy(F.col("_src").asc_nulls_last())
     place = F.row_number().over(by_name) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
@@ -126,7 +126,9 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", siz
     scratch = Scratch(spark, "mixing")
     names = fresh(docs, "size", "source_size", "target", "copies", "taken") if size is None else [size, *fresh(docs, "source_size", "target", "copies", "taken")]
     sized = docs if size else docs.withColumn(names[0], word_count(F.col(text)))
-    keyed = sized.select(F.struct("*").alias("_row"), F.col(source).alias("_src"), F.col(names[0]).cast("long").alias("_size"), F.xxhash64(F.col(key)).alias("_h"))
+    # rows of equal id and size are told apart by their text, so that reruns agree on which of them is taken
+    tie = F.xxhash64(F.col(text)) if text in docs.columns else F.lit(0)
+    keyed = sized.select(F.struct("*").alias("_row"), F.col(source).alias("_src"), F.col(names[0]).cast("long").alias("_size"), F.xxhash64(F.col(key)).alias("_h"), tie.alias("_tie"))
     counted = scratch.table("sizes", keyed.groupBy("_src", "_size", F.pmod("_h", F.lit(1 << 20)).alias("_fine")).agg(F.count(F.lit(1)).alias("_n")))
     total = counted.agg(F.sum("_n")).first()[0] or 0
     salts = max(1, -(-total // CELL))
@@ -150,7 +152,7 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", siz
     )
     parts = scratch.table("parts", parts)
     scratch.drop("sizes", "cells")
-    turn = Window.partitionBy("_src", "_size", "_salt").orderBy("_h", "_id")
+    turn = Window.partitionBy("_src", "_size", "_salt").orderBy("_h", "_id", "_tie")
     dealt = keyed.withColumns({"_salt": salt(F.col("_h")), "_id": F.col(f"_row.`{key}`")}).withColumn("_turn", F.row_number().over(turn))
     dealt = dealt.join(parts, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_salt") == F.col("_b")))
     n = (F.col("_each") + F.when(F.col("_turn") <= F.col("_extra"), 1).otherwise(0)).cast("int")
