@@ -31,6 +31,8 @@ BASE = {
 WORTH = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 KINDS = (*BASE, "random")
 RUN, LEAST = r"[A-Za-z0-9+/_-]+", 20
+#: Matches of a text that are placed together.
+CHUNK = 256
 #: Characters of each encoding in the order of their codes.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -43,6 +45,9 @@ MARGIN_CHI, MARGIN_RUNS, MARGIN_SERIAL = {"hex": 0.6, "base32": 1.0, "base64": 1
 ALPHA, GRID, LAST_CELL = 0.05, 64, 64 * 20
 
 
+EMPTY = "array<struct<s:int,e:int,v:string>>"
+
+
 def spans_of(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     r"""Spans of the leftmost non-overlapping matches, as an array of (s, e, v): start, end and the match.
 
@@ -53,21 +58,35 @@ def spans_of(text: Column, pattern: str, group: int = 0, least: int = 1) -> Colu
         pieces,
         lambda p: F.struct(F.length(p).alias("n"), F.regexp_extract(p, pattern, 0).alias("v"), F.length(F.regexp_extract(p, pattern, group)).alias("k")),
     )
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n"]).alias("at"),
-            F.when(
-                p["k"] >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["n"] - F.length(p["v"])).alias("s"), (acc["at"] + p["n"]).alias("e"), p["v"].alias("v")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return placed["out"]
-
-
-EMPTY = "array<struct<s:int,e:int,v:string>>"
+    empty = F.array().cast(EMPTY)
+
+    def within(chunk: Column) -> Column:
+        """Spans from the start of a chunk of pieces, and the length of the chunk."""
+        return F.aggregate(
+            chunk,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, p: F.struct(
+                (acc["at"] + p["n"]).alias("at"),
+                F.when(p["k"] >= least, F.concat(acc["out"], F.array(F.struct((acc["at"] + p["n"] - F.length(p["v"])).alias("s"), (acc["at"] + p["n"]).alias("e"), p["v"].alias("v"))))).otherwise(acc["out"]).alias("out"),
+            ),
+        )
+
+    # arrays grow within chunks only, so the cost is far from the square of the number of spans
+    def chunked(x: Column) -> Column:
+        last = F.floor((F.size(x["parts"]) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: within(F.slice(x["parts"], c * CHUNK + 1, F.lit(CHUNK))))
+
+    def begun(x: Column) -> Column:
+        starts = F.aggregate(x["chunks"], F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+        return F.struct(x["chunks"].alias("chunks"), starts.alias("starts"))
+
+    def joined(x: Column) -> Column:
+        moved = lambda m, by: F.struct((m["s"] + by).alias("s"), (m["e"] + by).alias("e"), m["v"].alias("v"))
+        return F.flatten(F.transform(x["chunks"], lambda c, i: F.transform(c["out"], lambda m: moved(m, F.get(x["starts"], i)))))
+
+    # each step's value has a name, so that none is computed twice
+    named = lambda value, name, body: F.transform(F.array(F.struct(value.alias(name))), body)[0]
+    return named(parts, "parts", lambda x: named(chunked(x), "chunks", lambda y: F.transform(F.array(begun(y)), joined)[0]))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
