@@ -7,7 +7,7 @@ so they land in whatever store the shared folder is in.
 Reading: a file is cut into blocks; a vectorised search finds the separators of each block; a prefix scan over the
 blocks of a file carries the tokens after a block's last separator to the block where their document ends.
 
-Defined results: a null or empty text has 0 tokens; equal documents are documents of their own; a file that does
+Defined results: a null or empty text has 0 tokens; repeated rows are documents of their own; a null id is kept; a file that does
 not end with a separator ends with one more document, if any tokens follow the last; an empty file holds none;
 an odd last byte is an error.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,38 +24,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, flat
+from .common import Scratch, chunks, first_of_equal, flat
 
-#: Where the public vocabularies are, the ranks used, and the free id that ends documents.
+#: Where the public vocabularies are (only the driver reads them), the ranks used, and the free id that ends documents.
 VOCABULARIES = "/opt/tokenizers"
 RANKS, END = "byte_bpe_50k.tiktoken", 50256
+#: Fixed value: how the vocabulary splits texts into words.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens in a block; text bytes behind a shard; parts of the corpus that are written, scanned and removed in turn.
-BLOCK, SHARD_BYTES, WAVES = 1 << 18, 24 << 20, 4
-_ENCODERS: dict[str, object] = {}
+BLOCK, SHARD_BYTES, WAVES = 1 << 18, 24 << 20, 2
 
 
-def encoder(folder: str, ranks: str):
-    """The byte-level tokenizer of a ranks file; loaded once for each Python worker."""
-    path = f"{folder}/{ranks}"
-    if path not in _ENCODERS:
-        import importlib.util
+def merge_ranks(folder: str = VOCABULARIES, ranks: str = RANKS) -> dict[bytes, int]:
+    """The byte strings of a ranks file with their ranks."""
+    with open(f"{folder}/{ranks}", "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
-        import tiktoken
 
-        spec = importlib.util.spec_from_file_location("public_tokenizers", f"{folder}/__init__.py")
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(path, "rb") as lines:
-            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("recollect", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return _ENCODERS[path]
+def encoder(merges: dict[bytes, int], pattern: str = PATTERN):
+    """The byte-level tokenizer of a vocabulary."""
+    import tiktoken
 
+    return tiktoken.Encoding("recollect", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
-def with_tokens(docs: DataFrame, text: str, into: str, folder: str = VOCABULARIES, ranks: str = RANKS) -> DataFrame:
-    """Replaces a text column by a binary one: its ids as 16-bit little-endian integers."""
+
+def with_tokens(docs: DataFrame, text: str, into: str, folder: str = VOCABULARIES, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """Replaces a text column by a binary one: its ids as 16-bit little-endian integers.
+
+    The vocabulary, of a size that its file fixes, is broadcast.
+    """
+    merges = docs.sparkSession.sparkContext.broadcast(merge_ranks(folder, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(folder, ranks).encode_ordinary
+        encode = encoder(merges.value, pattern).encode_ordinary
         for batch in batches:
             rest = batch.slice(0).columns[:-1]
             _, offsets = flat(batch.column(batch.num_columns - 1))
@@ -120,31 +122,38 @@ def count_tokens(spark: SparkSession, path: str, end: int = END, block: int = BL
 def document_token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = VOCABULARIES, ranks: str = RANKS, end: int = END, shard_bytes: int = SHARD_BYTES, waves: int = WAVES, block: int = BLOCK) -> DataFrame:
     """(key, n_tokens): texts written to flat token files, and counted again by scanning those.
 
-    The files of one wave exist at a time. A document's place in its file is its rank by key among the documents
-    of the shard; documents with equal keys may take each other's place, which leaves the rows as they are.
+    The files of one wave exist at a time. Documents are dealt to shards by id and text, so one id (or none) that very
+    many have is spread; of rows with equal id and text one is written, and its count stands for all. A document's
+    place in its file is its rank by id and hash among the documents of the shard.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
-    slim = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    n_bytes = slim.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_h"), body.alias("_text"))
+    one, extra = first_of_equal(slim, "_key", "_h", scratch)
+    dealt = one.select("_key", "_h", F.octet_length("_text").alias("_bytes"))
+    dealt = scratch.table("dealt", dealt)
+    n_bytes = dealt.agg(F.sum("_bytes")).first()[0] or 0
     shards = waves * max(1, -(-n_bytes // (shard_bytes * waves)))
-    slim = slim.withColumn("_shard", F.pmod(F.xxhash64("_key"), F.lit(shards)).cast("int"))
-    rank = Window.partitionBy("_shard").orderBy("_key")
+    shard = F.pmod(F.xxhash64("_key", "_h"), F.lit(shards)).cast("int")
+    rank = Window.partitionBy("_shard").orderBy("_key", "_h")
+    places = dealt.withColumn("_shard", shard).withColumn("place", F.row_number().over(rank) - 1)
     parts = []
     for wave in range(waves):
-        own = slim.where(F.col("_shard") % waves == wave)
+        own = one.withColumn("_shard", shard).where(F.col("_shard") % waves == wave)
         tokens = with_tokens(own, "_text", "ids", folder, ranks)
-        write_token_files(tokens, scratch.path(f"files-{wave}"), "_shard", ["_key"], "ids", end)
+        write_token_files(tokens, scratch.path(f"files-{wave}"), "_shard", ["_key", "_h"], "ids", end)
         counted = count_tokens(spark, scratch.path(f"files-{wave}"), end, block)
-        shard = F.regexp_extract("file", r"_shard=(\d+)/", 1).cast("int")
-        places = own.select("_key", "_shard").withColumn("place", F.row_number().over(rank) - 1)
-        joined = places.join(counted.select(shard.alias("_shard"), "place", "n_tokens"), ["_shard", "place"], "left")
-        parts.append(scratch.table(f"counts-{wave}", joined.select(F.col("_key").alias(key), "n_tokens")))
+        of = F.regexp_extract("file", r"_shard=(\d+)/", 1).cast("int")
+        joined = places.where(F.col("_shard") % waves == wave).join(counted.select(of.alias("_shard"), "place", "n_tokens"), ["_shard", "place"], "left")
+        parts.append(scratch.table(f"counts-{wave}", joined.select("_key", "_h", "n_tokens")))
         scratch.drop(f"files-{wave}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    counts = reduce(DataFrame.unionByName, parts)
+    out = counts.select(F.col("_key").alias(key), "n_tokens")
+    # the repeats of a row, which may be very many, are counted before they meet its number of tokens
+    times = extra.groupBy(F.col("_key").alias("_k"), F.col("_h").alias("_g")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    again = counts.join(times, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")))
+    return out.unionByName(again.select(F.col("_key").alias(key), "n_tokens", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(key, "n_tokens"))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
