@@ -1,9 +1,10 @@
 """Media columns: Netpbm and BMP images in a binary column, decoded to numpy arrays.
 
-Images are area-resized by integral images, described by a difference hash, and written as NPY tiles.
+Images are written to a table in the shared folder and read back from it; what is read is area-resized by integral
+images, described by a difference hash, and written as NPY tiles, again to a table that the caller reads.
 
 Defined results: a null text counts as empty; an empty payload becomes one row of 64 zero samples; a null or
-malformed image gives null features; rows are independent, so repeats give equal values; further columns of the
+malformed image (also one without samples, or with samples beyond its greatest value) gives null features; rows are independent, so repeats give equal values; further columns of the
 input pass through, whatever their names.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, fresh
+from .common import Scratch, chunks, flat, fresh
 
 #: Samples in a row of the images that hold a payload.
 WIDTH = 64
@@ -85,6 +86,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at)
     if samples.size != n:
         raise ValueError("samples are missing")
+    if n == 0 or not 0 < most < 65536 or samples.max() > most:
+        raise ValueError("no samples, or some beyond the greatest value")
     if most != 255:
         samples = (samples.astype(np.int64) * 255 + most // 2) // most
     shape = (height, width, 3) if channels == 3 else (height, width)
@@ -94,8 +97,8 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     start, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
     width, height, _, depth, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing or depth not in (1, 4, 8, 24, 32):
-        raise ValueError("not an uncompressed BMP of a known depth")
+    if packing or depth not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+        raise ValueError("not an uncompressed BMP of a known depth and some size")
     upward, height = height > 0, abs(height)
     stride = -(-width * depth // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * height, start).reshape(height, stride)
@@ -159,28 +162,30 @@ def difference_hash(image: np.ndarray) -> str:
 def npy_tile(image: np.ndarray, height: int = 32, width: int = 32) -> bytes:
     """The area-resized grey tile in NPY format."""
     out = io.BytesIO()
-    np.save(out, np.round(area_resize(grey(image), height, width)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.ascontiguousarray(np.round(area_resize(grey(image), height, width)).astype(np.uint8)), allow_pickle=False)
     return out.getvalue()
 
 
-def with_payload_images(docs: DataFrame, text: str, media: str, form: str = "pgm") -> DataFrame:
-    """Adds a binary column: the text's bytes, zero-padded to a positive multiple of 64, as a lossless image."""
+def with_payload_images(docs: DataFrame, text: str, media: str, form: str = "pgm", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) and a binary one: the text's bytes, zero-padded to a positive multiple of 64, as a lossless image."""
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
     source = fresh(docs, "payload_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(batch.num_columns - 1))
-            images = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                samples = np.zeros(max(-(-(b - a) // WIDTH), 1) * WIDTH, np.uint8)
-                samples[: b - a] = data[a:b]
-                images.append(encode(samples.reshape(-1, WIDTH)))
-            columns = [*batch.columns[:-1], pa.array(images, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], media])
+            for first, last in chunks(offsets):
+                images = []
+                for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True):
+                    samples = np.zeros(max(-(-(b - a) // WIDTH), 1) * WIDTH, np.uint8)
+                    samples[: b - a] = data[a:b]
+                    images.append(encode(samples.reshape(-1, WIDTH)))
+                columns = [*batch.slice(first, last - first).columns[:-1], pa.array(images, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], media])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())])
-    return docs.select("*", F.col(text).cast("string").alias(source)).mapInArrow(run, schema)
+    kept = docs.columns if keep is None else keep
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(media, T.BinaryType())])
+    return docs.select(*kept, F.col(text).cast("string").alias(source)).mapInArrow(run, schema)
 
 
 #: What media_features() adds.
@@ -205,7 +210,7 @@ def features_of(data: bytes | None, tile: int) -> dict:
     out = dict.fromkeys(FEATURES.names) | {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
     try:
         image = decode(data)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, OverflowError, struct.error):
         return out
     payload = image.tobytes()
     return out | {
@@ -233,11 +238,24 @@ def media_features(images: DataFrame, media: str, into: str = "features", tile:
     return images.select(*kept, media).mapInArrow(run, schema)
 
 
+def stored_features(docs: DataFrame, text: str, tile: int = 32, form: str = "pgm") -> DataFrame:
+    """docs without text, with `features`: the texts' bytes are stored as images, read back, and described.
+
+    Two tables in the shared folder: the media column, which goes once it has been read, and the features with tiles.
+    """
+    scratch = Scratch(docs.sparkSession, "media")
+    media, into = fresh(docs, "media", "features")
+    images = with_payload_images(docs, text, media, form, [c for c in docs.columns if c != text])
+    stored = scratch.table("media", images)
+    out = scratch.table("tiles", media_features(stored, media, into, tile))
+    scratch.drop("media")
+    return out
+
+
 def op8_media_columns(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of media_features() over every whole text of documents."""
+    """The contract's digest of stored_features() over every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    slim = with_payload_images(docs, "text", "media").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media")
-    found = media_features(slim, "media")
+    found = stored_features(docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")), "text")
     return found.select(
         "doc_id",
         "n_bytes",
