@@ -26,7 +26,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); the component is its least node."""
     now = scratch.table(f"{name}-0", edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     step, before = 0, None
-    while True:
+    while not now.isEmpty():
         step += 1
         now = scratch.table(f"{name}-{step}", _stars(_stars(now, True), False))
         # done when each node has one neighbour and none is both a leaf and a centre

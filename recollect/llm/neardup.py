@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, fresh
+from .common import Scratch, flat, fresh, join_by_share, join_salted
 from .graph import components
 from .shingles import minhash, minhash_family, mix, set_digest, shingle_sets
 
@@ -112,23 +112,48 @@ def _pruned(pairs: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
             alive = pa.array(sequential_survivors(left, right, similar))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(alive), batch.column("b").take(alive)], names=["a", "b"])
 
-    with_left = pairs.join(signed.select(F.col("_doc").alias("a"), F.col("_sig").alias("_left")), "a")
-    both = with_left.join(signed.select(F.col("_doc").alias("b"), F.col("_sig").alias("_right")), "b")
-    return both.select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, signed, "_sig").mapInArrow(run, "a long, b long")
 
 
-def _links_in_blocks(members: DataFrame, signed: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Links between different components of each cluster, from rows of (cluster, doc, component, size).
+def _with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """(a, b, _left, _right): the column of both sides of a written table of pairs; a side may be in very many pairs."""
+    with_left = join_salted(pairs, pairs, values.select(F.col("_doc").alias("a"), F.col(column).alias("_left")), "a", "b")
+    both = join_salted(with_left, pairs, values.select(F.col("_doc").alias("b"), F.col(column).alias("_right")), "b", "a")
+    return both.select("a", "b", "_left", "_right")
 
-    A cluster is cut into blocks of PER_BLOCK members; a task compares two blocks. Pairs stay in the task: the
-    sequential test drops most, the full sets decide the rest, and one link for each two components comes out.
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Adds block and owner to rows of (cluster, doc, component).
+
+    A component of more than PER_BLOCK members has blocks of its own and owns them; smaller ones share blocks.
+    """
+    sizes = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.col("n") > PER_BLOCK
+    shared = sizes.where(~alone).groupBy("cluster").agg(F.ceil(F.sum("n") / PER_BLOCK).alias("shared"))
+    placed = members.join(sizes, ["cluster", "component"]).join(shared, "cluster", "left")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PER_BLOCK)))
+    common = F.xxhash64("cluster", F.lit(1), F.pmod(F.xxhash64("component"), F.col("shared")))
+    return placed.select("cluster", "doc", "component", F.when(alone, own).otherwise(common).alias("block"), F.when(alone, F.col("component")).alias("owner"))
+
+
+def _links_in_blocks(members: DataFrame, signed: DataFrame, sets: DataFrame, similar: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links between different components of each cluster, from rows of (cluster, doc, component).
+
+    A cluster is cut into blocks of about PER_BLOCK members; a task compares two blocks, but never two of one
+    component. Pairs stay in the task: the sequential test drops most, the full sets decide the rest, and one link for
+    each two components comes out.
     """
     n, level = BANDS * ROWS, similar[0] / similar[1]
-    blocks = F.ceil(F.col("size") / PER_BLOCK).cast("int")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component")
+    placed = scratch.table("placed", _blocks(members))
+    blocks = placed.select("cluster", "block", "owner").distinct()
+    side = lambda name: blocks.select("cluster", F.col("block").alias(name), F.col("owner").alias(f"{name}_owner"))
+    met = side("i").join(side("j"), "cluster").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("i_owner") == F.col("j_owner"), F.lit(False))).select("i", "j")
+    met = scratch.table("met", met)
+    each = met.select(F.col("i").alias("own"), "i", "j").unionByName(met.where("i <> j").select(F.col("j").alias("own"), "i", "j"))
+    rows = placed.select(F.col("block").alias("own"), "doc", "component").join(each, "own")
     # a signature goes with the set of its own class
-    rows = rows.join(signed.select(F.col("_doc").alias("doc"), "_hi", "_lo", "_sig"), "doc").join(sets.withColumnRenamed("_doc", "doc"), ["doc", "_hi", "_lo"]).drop("_hi", "_lo")
+    values = signed.select(F.col("_doc").alias("doc"), "_hi", "_lo", "_sig").join(sets.withColumnRenamed("_doc", "doc"), ["doc", "_hi", "_lo"]).drop("_hi", "_lo")
+    rows = rows.join(values, "doc")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group["i"].iloc[0], group["j"].iloc[0]
@@ -157,7 +182,7 @@ def _links_in_blocks(members: DataFrame, signed: DataFrame, sets: DataFrame, sim
         pairs = np.array(list(found.values()), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("i", "j").applyInPandas(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -175,9 +200,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> D
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    with_left = pairs.join(sets.select(F.col("_doc").alias("a"), F.col("_set").alias("_left")), "a")
-    both = with_left.join(sets.select(F.col("_doc").alias("b"), F.col("_set").alias("_right")), "b")
-    return both.select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sets, "_set").mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
@@ -204,24 +227,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     level = similar[0] / similar[1]
     slim = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"))
     signed_all = scratch.table("signed-all", with_set_features(slim, "_text", k, True))
-    classes = signed_all.where("_n > 0").groupBy("_hi", "_lo", "_n").agg(F.min("_doc").alias("_rep"))
+    classes = signed_all.where("_n > 0").groupBy("_hi", "_lo", "_n").agg(F.min("_doc").alias("_rep"), F.count(F.lit(1)).alias("_copies"))
     classes = scratch.table("classes", classes.where("_rep is not null"))
     one = classes.select(F.col("_rep").alias("_doc"), "_hi", "_lo")
     # an id with several texts stands for all of them; each class it represents signs for it
     signed = signed_all.join(one, ["_doc", "_hi", "_lo"], "left_semi").dropDuplicates(["_doc", "_hi", "_lo"]).select("_doc", "_hi", "_lo", "_sig")
     signed = scratch.table("signed", signed)
-    members = signed_all.where("_n > 0").select("_doc", "_hi", "_lo").distinct()
+    members = signed_all.where("_n > 0").select("_doc", "_hi", "_lo")
     # equal sets link to their representative; so do the classes of an id that has several texts
-    equal = members.join(classes.select("_hi", "_lo", "_rep"), ["_hi", "_lo"]).where("_doc <> _rep").select(F.col("_doc").alias("a"), F.col("_rep").alias("b")).distinct()
-    equal = scratch.table("equal", equal)
+    equal = join_by_share(members, classes.where("_copies > 1").select("_hi", "_lo", "_rep", "_copies"), ["_hi", "_lo"], "_copies")
+    equal = scratch.table("equal", equal.where("_doc <> _rep").select(F.col("_doc").alias("a"), F.col("_rep").alias("b")).distinct())
     scratch.drop("classes")
     bands = with_bands(signed)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
+    shared = scratch.table("shared", shared.withColumn("_rows", F.col("size")))
     # members of buckets with more than one representative
-    buckets = scratch.table("buckets", with_bands(signed).join(shared, "band"))
+    buckets = scratch.table("buckets", join_by_share(bands, shared, ["band"], "_rows"))
     star = buckets.where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     star = star.unionByName(buckets.where("doc <> high and doc <> low").select(F.col("doc").alias("a"), F.col("high").alias("b")))
-    pruned = scratch.table("star", _pruned(star.distinct(), signed, level))
+    star = scratch.table("star-pairs", star.distinct())
+    pruned = scratch.table("star", _pruned(star, signed, level))
     # every document that any pair can need has a bucket; sets are read once for all confirmations
     in_pairs = buckets.select(F.col("doc").alias("_doc")).distinct()
     wanted = signed.select("_doc", "_hi", "_lo").join(in_pairs, "_doc", "left_semi")
@@ -229,28 +254,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     links = scratch.table("links-1", _confirmed(pruned, sets, similar))
     merged = components(links, scratch, "merged")
     labelled = buckets.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")).select("band", "doc", "component", "size")
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    rest = scratch.table("rest", labelled.join(open_, "band", "left_semi"))
+    labelled = scratch.table("labelled", labelled)
+    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("_rows")).where("x <> y")
+    rest = scratch.table("rest", join_by_share(labelled, scratch.table("open", open_.select("band", "_rows")), ["band"], "_rows", "left_semi"))
     few = rest.where(F.col("size") <= SMALL).drop("size")
     other = few.select("band", F.col("doc").alias("b"), F.col("component").alias("other"))
     small = few.withColumnRenamed("doc", "a").join(other, "band").where("a < b and component <> other").select("a", "b").distinct()
-    small = small.join(pruned, ["a", "b"], "left_anti")
+    small = scratch.table("small", small.join(star, ["a", "b"], "left_anti"))
     more = scratch.table("more", _pruned(small, signed, level))
     # large buckets that share members form one cluster, so each of its pairs is compared once for all bands
     large = rest.where(F.col("size") > SMALL)
-    lows = large.groupBy("band").agg(F.min("doc").alias("a"))
-    clusters = components(large.join(lows, "band").select("a", F.col("doc").alias("b")).where("a <> b"), scratch, "clusters")
+    lows = scratch.table("lows", large.groupBy("band").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("_rows")))
+    clusters = components(join_by_share(large, lows, ["band"], "_rows").select("a", F.col("doc").alias("b")).where("a <> b"), scratch, "clusters")
     clusters = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
     inside = large.select("doc", "component").distinct().join(clusters, "doc", "left").withColumn("cluster", F.coalesce("cluster", "doc"))
-    inside = inside.join(inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
-    late = _confirmed(more, sets, similar).unionByName(_links_in_blocks(inside, signed, sets, similar))
+    late = _confirmed(more, sets, similar).unionByName(_links_in_blocks(inside, signed, sets, similar, scratch))
     late = scratch.table("links-2", late)
-    scratch.drop("buckets", "star", "sets", "rest", "more", "signed")
+    scratch.drop("shared", "buckets", "star-pairs", "star", "sets", "labelled", "open", "rest", "small", "more", "lows", "placed", "met", "signed")
     every = equal.unionByName(links).unionByName(late)
     groups = components(every, scratch, "groups")
     scratch.drop("equal", "links-1", "links-2")
     sizes = signed_all.select("_doc", F.col("_n").alias("n_shingles"))
-    out = sizes.join(groups, F.col("_doc") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "_doc"))
+    out = sizes.where("_doc is not null").join(groups, F.col("_doc") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "_doc"))
+    # rows without an id have no part in the join, else one task would take them all
+    out = out.select("_doc", "n_shingles", "component_id").unionByName(sizes.where("_doc is null").withColumn("component_id", F.col("_doc")))
     return out.select(F.col("_doc").alias(key), "n_shingles", "component_id", F.coalesce(F.col("_doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -258,7 +285,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """docs without the rows whose group has a smaller id; of rows with equal ids, all stay or all go."""
     gone = near_duplicates(docs, key, text, **options).where("not kept").select(F.col(key).alias("_gone")).distinct()
     name, = fresh(docs, "_gone")
-    return docs.join(gone.withColumnRenamed("_gone", name), F.col(key).cast("long") == F.col(name), "left_anti")
+    left = docs.where(F.col(key).isNotNull()).join(gone.withColumnRenamed("_gone", name), F.col(key).cast("long") == F.col(name), "left_anti")
+    return left.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
