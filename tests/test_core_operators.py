@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -229,6 +230,16 @@ def test_fact_merges_match_brute_force(spark):
     assert {r["doc_id"]: (r["corpus"], r["sources"], r["n_merged"]) for r in found} == want
 
 
+def _parts_of(t):
+    """The signature of a fact, as the predicate's test has it."""
+    from recollect.functions import text as X
+
+    words = {w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) >= 3} - set(X.STOP_WORDS)
+    proper = {w.lower() for w in re.findall(r"\w+", t) if re.fullmatch("[A-Z][a-zA-Z]+", w)} - set(X.NOT_PROPER)
+    subject = re.search("[A-Z][a-z]+", t)
+    return frozenset(words), subject and subject[0].lower(), frozenset(proper)
+
+
 def _same_fact(a, b):
     from recollect.functions import text as X
 
@@ -342,3 +353,30 @@ def test_ingest_goes_on_after_a_crash(spark, tmp_path):
         name.unlink()
     ingest.append_messages(ingest.requests(spark, source), target, state).awaitTermination()
     assert sorted(r["content"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+
+
+def _facts_frame(spark, texts):
+    return spark.createDataFrame([(i, t, ["s"]) for i, t in enumerate(texts)], "k long, t string, s array<string>")
+
+
+def test_links_move_no_long_signatures_and_list_no_pairs(spark, monkeypatch):
+    """Links of classes alone with their proper nouns are not looked for; many near copies are compared in blocks."""
+    rng = random.Random(3)
+    near = [" ".join(["Tamsin", *(w if rng.random() > 0.1 else f"x{rng.randrange(9)}" for w in "grey heron keeps boats near the river bend every spring".split())]) for _ in range(90)]
+    short = [" ".join(f"w{rng.randrange(30)}x" for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    told = [f"ruben {rng.choice(['praised', 'valued', 'kept'])} " + " ".join(rng.sample("oats pears plums corn rye figs dill sage".split(), 4)) for _ in range(60)]
+    texts = [*near, *short, *told, *(f"Name{chr(65 + i % 26)}{chr(97 + i // 26)} stood alone" for i in range(40)), None, ""]
+    facts = _facts_frame(spark, texts)
+    sig = {}
+    for i, t in enumerate(texts):
+        sig.setdefault(_parts_of(t or ""), []).append(i)
+    want = {own[0]: sum(_same_fact(texts[own[0]] or "", texts[other[0]] or "") for other in sig.values() if other is not own) for own in sig.values()}
+    for most, block in ((2048, 256), (8, 5)):
+        monkeypatch.setattr(resolve, "MEET_ALL", most)
+        monkeypatch.setattr(resolve, "PER_BLOCK", block)
+        got = resolve.near_dups(facts, "k", "t").collect()
+        assert {r["k"]: (r["class_id"], r["n_links"]) for r in got} == {i: (own[0], want[own[0]]) for own in sig.values() for i in own}
+        links = [tuple(r) for r in resolve.near_dup_links(facts, "k", "t")[1].collect()]
+        assert len(links) == len(set(links)) == sum(want.values()) // 2 and all(a < b for a, b in links)
+        placed = resolve._meeting(facts, resolve.signature_classes(facts, "k", "t")[1], "k", "t")
+        assert not any("alone" in r["tokens"] for r in placed.collect())
