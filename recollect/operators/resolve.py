@@ -233,11 +233,21 @@ def greedy_merge(facts: DataFrame, corpus: str, pos: str, text: str, sources: st
 
 
 def not_yet_known(incoming: DataFrame, stored: DataFrame, key: str, text: str, sources: str) -> DataFrame:
-    """Incoming facts without a stored one that says the same and has all their sources."""
-    new = with_signature(incoming.select(key, text, sources), text)
-    old = with_signature(stored.select(text, sources), text)
-    x = new.select(*(F.col(c).alias("x_" + c) for c in new.columns))
-    y = old.select(*(F.col(c).alias("y_" + c) for c in old.columns)).dropDuplicates(["y_tokens", "y_subject", "y_proper_key", "y_" + sources])
+    """Incoming facts without a stored one that says the same and has all their sources.
+
+    Of facts with equal signatures and sources one is compared. They meet where their proper nouns are equal and both
+    prefixes in order of rarity have a token; which pairs meet is never written, the first stored one found is enough.
+    """
+    listed = F.to_json(F.array_sort(F.array_distinct(sources)))
+    told = lambda rows: with_signature(rows, text).withColumn("_of", F.coalesce(F.sha2(F.concat_ws("|", F.array_join("tokens", " "), "subject", "proper_key", listed), 256), F.lit("")))
+    one = lambda rows: told(rows.select(text, sources)).drop(text).dropDuplicates(["_of"])
+    new, old = one(incoming), one(stored)
+    both = new.select("proper_key", "tokens").unionByName(old.select("proper_key", "tokens"))
+    side = lambda sets, p: (rows := _prefixes(sets, ["_of"], "proper_key", both)).select(*(F.col(c).alias(p + c) for c in rows.columns))
+    x, y = side(new, "x_"), side(old, "y_")
+    n, m = F.size("x_tokens"), F.size("y_tokens")
+    sizes = (F.least(n, m) >= F.greatest(n, m) * X.SAME_JACCARD - 1e-9) | (F.col("x_sentiment") & F.col("y_sentiment"))
     nothing_new = F.size(F.array_except(f"x_{sources}", f"y_{sources}")) == 0
-    known = x.join(y, F.col("x_proper_key") == F.col("y_proper_key")).where(nothing_new & X.same_fact("x_", "y_")).select(F.col("x_" + key).alias(key)).distinct()
-    return incoming.join(known, key, "left_anti")
+    meet = (F.col("x_proper_key") == F.col("y_proper_key")) & (F.col("x_t") == F.col("y_t"))
+    known = x.join(y, meet & sizes & nothing_new & X.same_fact("x_", "y_"), "left_semi").select(F.col("x__of").alias("_of")).distinct()
+    return told(incoming).join(known, "_of", "left_anti").select(*incoming.columns)

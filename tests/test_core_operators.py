@@ -380,3 +380,23 @@ def test_links_move_no_long_signatures_and_list_no_pairs(spark, monkeypatch):
         assert len(links) == len(set(links)) == sum(want.values()) // 2 and all(a < b for a, b in links)
         placed = resolve._meeting(facts, resolve.signature_classes(facts, "k", "t")[1], "k", "t")
         assert not any("alone" in r["tokens"] for r in placed.collect())
+
+
+def test_known_facts_never_meet_by_proper_nouns_alone(spark):
+    """Many facts without proper nouns: the join has the rare tokens among its keys, and makes no pairs."""
+    texts = [f"w{i}a w{i}b w{i % 7}c common words" for i in range(300)]
+    new = _facts_frame(spark, [t + " more" if i % 3 else t for i, t in enumerate(texts)] + ["fresh thing", "", None])
+    old = _facts_frame(spark, texts)
+    out = resolve.not_yet_known(new, old, "k", "t", "s")
+    assert sorted(r["k"] for r in out.collect()) == [300, 301, 302]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi, .*\bt#\d+ = t#\d+", plan)
+
+
+def test_first_words(spark):
+    from recollect.functions import text as X
+
+    texts = ["", " ", "a", " a b", "a b ", "a  b\n\tc", "a b c d", " a b c", None, "a b c "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.first_words(F.col("t"), 3).alias("w"))
+    got = {r["i"]: r["w"] for r in rows.collect()}
+    assert got == {i: None if t is None else " ".join(re.split(r"\s+", t)[:3]) for i, t in enumerate(texts)}
