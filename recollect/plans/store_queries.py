@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import edits, layers
 from ..operators import store as S
 from ..schema import messages, table
@@ -195,7 +196,6 @@ def content_parts(spark, folder):
 @query()
 def evidence_append(spark, folder):
     """Short facts of odd documents appended to those of even ones, unless known from the same source."""
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)
-    facts = table(spark, folder, "documents").select("doc_id", F.array_join(words, " ").alias("fact"), F.array(F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).alias("source"))
+    facts = table(spark, folder, "documents").select("doc_id", X.first_words(F.col("text"), 8).alias("fact"), F.array(F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).alias("source"))
     out = edits.appended(facts.where("doc_id % 2 = 0"), facts.where("doc_id % 2 = 1"), "doc_id", "fact", "source")
     return out.select("doc_id", F.md5("fact").alias("md5"))
