@@ -45,6 +45,16 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def parts(self, name: str, df: DataFrame, by: str, n: int) -> list[DataFrame]:
+        """df in n tables by a hash of the column, in folders part=0 to part=n-1 below its name; rows with equal values share one."""
+        if n == 1:
+            return [self.table(f"{name}/part=0", df)]
+        path = f"{self.root}/{name}"
+        df = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(path)
+        whole = self.spark.read.schema(df.schema).parquet(path)
+        return [whole.where(F.col("part") == k).drop("part") for k in range(n)]
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

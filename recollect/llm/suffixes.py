@@ -10,7 +10,8 @@ one text: the earliest stands for it and every other is a repeat as a whole, so
 one run. Only values with several different texts, or with one that may repeat itself, are sorted. A value that very
 many texts share (a common passage in many contexts) is first cut finer by further hash functions of the same strings,
 which keeps equal strings together, and what of it stays large is cut into single strings, whose 128-bit hashes are
-counted. So texts are dealt to buckets of bounded size by value.
+counted. So texts are dealt to buckets of bounded size by value. The join of runs by value is done for a part of all
+values at a time, and texts are cut into runs for a part of all documents at a time, so that only a part is on disk.
 
 Sorting, in each bucket, is the difference-cover algorithm (modulo 3): sort the triples at sampled positions, name
 them, recurse on the names until a name spans LENGTH bytes or names are unique, sort the remaining suffixes by a
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, first_of_equal, flat, join_by_share
+from .common import Scratch, chunks, first_of_equal, flat, join_by_share, maybe_among, with_maybe
 from .shingles import mix, prefix_hash, range_hash
 
 #: Bytes of a string that repeats, and of the grams whose least hash finds its partners.
@@ -42,6 +43,8 @@ LENGTH, GRAM = 100, 16
 MANY, MEAN, SPLITS = 2048, 512, 3
 #: Starts in a run at most, and bytes of text in a bucket about: its arrays should fit the processor's cache.
 RUN, BUCKET_BYTES = 1 << 16, 1 << 18
+#: Parts of all values whose runs are joined at a time, and parts of all documents whose texts are cut at a time.
+VALUE_PARTS, DOC_PARTS = 4, 2
 #: Bytes of text whose runs are found at a time; the arrays for it take about two hundred times that.
 CHUNK = 1 << 19
 _TABLE = np.random.default_rng(4).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,8 +83,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, seeds=(0,)) -> tuple[np.ndarr
         grams = gram_hashes(data, seed)
         least = window_minima(grams, LENGTH - GRAM + 1)
         value = least if value is None else mix(value * np.uint64(3) + least)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.flatnonzero(np.arange(len(value)) + LENGTH <= offsets[1:][row[: len(value)]])
+    sizes = np.diff(offsets)
+    own = np.maximum(sizes - (LENGTH - 1), 0)
+    within = np.repeat(np.tile([True, False], len(sizes)), np.stack([own, sizes - own], 1).ravel())
+    start = np.flatnonzero(within[: len(value)])
     if not len(start):
         return nothing
     value = value[start]
@@ -95,11 +100,21 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, seeds=(0,)) -> tuple[np.ndarr
         at, length = np.repeat(at, parts) + skip, np.minimum(np.repeat(length, parts) - skip, RUN)
     first = start[at]
     body = mix(range_hash(prefix_hash(_TABLE[data]), first, first + length + LENGTH - 1) + length.astype(np.uint64))
-    width = length + (LENGTH - GRAM)
-    ends = np.cumsum(width)
-    within = np.arange(ends[-1]) + np.repeat(first - (ends - width), width)
-    times = np.add.reduceat((grams[within] == np.repeat(least[first], width)).astype(np.int32), ends - width)
-    return row[first], first - offsets[row[first]], length, value[at].view(np.int64), body.view(np.int64), times > 1
+    row = np.searchsorted(offsets, first, "right") - 1
+    return row, first - offsets[row], length, value[at].view(np.int64), body.view(np.int64), _times(grams, least, first, length) > 1
+
+
+def _times(grams: np.ndarray, least: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How often the least gram of each run stands in it."""
+    # only grams that are the least of some string can be; the greatest of the minima around a gram tells which are
+    wide = LENGTH - GRAM + 1
+    edge = np.zeros(wide - 1, np.uint64)
+    around = ~window_minima(~np.concatenate([edge, least, edge]), wide)
+    lowest = np.flatnonzero(around == grams)
+    a, b = np.searchsorted(lowest, first), np.searchsorted(lowest, first + length + (wide - 1))
+    ends = np.cumsum(b - a)
+    those = lowest[np.arange(ends[-1]) + np.repeat(a - (ends - (b - a)), b - a)]
+    return np.add.reduceat((grams[those] == np.repeat(least[first], b - a)).astype(np.int32), ends - (b - a))
 
 
 # ---- difference-cover suffix sorting ----
@@ -260,7 +275,8 @@ def _split(rows: DataFrame, wanted: DataFrame, singly: bool) -> DataFrame:
                 piece, at, *rest = found
                 yield _runs_batch([batch.column("_doc"), batch.column("_h")], (row[piece], own["at"][piece] + at, *rest))
 
-    return _with_runs(rows, wanted).mapInArrow(run, _runs_type(rows))
+    # few documents have such runs: a filter of bounded size spares the texts of most others their shuffle
+    return _with_runs(maybe_among(rows, "_h", wanted, "_h"), wanted).mapInArrow(run, _runs_type(rows))
 
 
 def _segments(rows: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
@@ -297,24 +313,34 @@ def _sort_bucket(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_doc": group["_doc"].to_numpy()[row[first]], "_h": group["_h"].to_numpy()[row[first]], "_at": at[first].astype(np.int32), "_starts": n.astype(np.int32)})
 
 
-def _same_runs(runs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """(repeats, leads): runs with the bytes of an earlier run, and the first run of each text that others share.
-
-    leads: (value, body, _doc, _h, _at, _starts, periodic, kinds, weight) of the values that several runs have, or one
-    that may repeat itself; kinds counts the value's different texts and weight their bytes.
-    """
+def _shared(runs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The runs whose value several runs have, or one that may repeat itself."""
     values = runs.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.max("periodic").alias("looped"))
     several = scratch.table(f"several-{name}", values.where("c > 1 or looped"))
     scratch.drop()
     shared = scratch.table(f"shared-{name}", join_by_share(runs.drop("periodic"), several, ["value"], "c"))
     scratch.drop(f"several-{name}")
+    return shared
+
+
+def _same_runs(found: DataFrame, scratch: Scratch, name: str, parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(repeats, leads) of the runs in found: those with the bytes of an earlier run, and the first of each text that others share.
+
+    leads: (value, body, _doc, _h, _at, _starts, periodic, kinds, weight) of the values that several runs have, or one
+    that may repeat itself; kinds counts the value's different texts and weight their bytes.
+    """
+    shared = []
+    for k, runs in enumerate(scratch.parts(f"runs-{name}", found, "value", parts)):
+        shared.append(_shared(runs, scratch, f"{name}-{k}"))
+        scratch.drop(f"runs-{name}/part={k}")
+    shared = reduce(DataFrame.unionByName, shared)
     own = F.struct(*_PLACE, "_starts")
     leads = shared.groupBy("value", "body").agg(F.min(own).alias("lead"), F.max("looped").alias("periodic"), F.count(F.lit(1)).alias("c"))
     leads = scratch.table(f"leads-{name}", leads)
     copied = leads.where("c > 1").select("value", "body", "lead", "c")
     again = join_by_share(shared, copied, ["value", "body"], "c").where(~own.eqNullSafe(F.col("lead"))).select(*_PLACE, "_starts")
     again = scratch.table(f"again-{name}", again)
-    scratch.drop(f"shared-{name}")
+    scratch.drop(f"runs-{name}", *(f"shared-{name}-{k}" for k in range(parts)))
     kinds = leads.groupBy("value").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("lead._starts").cast("long") + (LENGTH - 1)).alias("weight"), F.max("periodic").alias("looped"))
     kinds = scratch.table(f"kinds-{name}", kinds.where("kinds > 1 or looped").drop("looped").withColumn("n", F.col("kinds")))
     wanted = join_by_share(leads.select("value", "lead.*"), kinds, ["value"], "n")
@@ -323,9 +349,7 @@ def _same_runs(runs: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame,
 
 def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(_doc, _h, _at, _starts): runs of starts whose string also starts earlier; rows has no two equal ones."""
-    runs = scratch.table("runs", _runs(rows))
-    again, wanted = _same_runs(runs, scratch, "first")
-    scratch.drop("runs")
+    again, wanted = _same_runs(_runs(rows), scratch, "first", VALUE_PARTS)
     wanted = scratch.table("wanted", wanted)
     scratch.drop("leads-first", "kinds-first")
     large = (F.col("kinds") > MANY) | (F.col("weight") > MANY * MEAN)
@@ -334,20 +358,23 @@ def repeated_runs(rows: DataFrame, scratch: Scratch) -> DataFrame:
         hot = wanted.where(large)
         if hot.isEmpty():
             break
-        runs = scratch.table(f"runs-{name}", _split(rows, hot, name == "single"))
-        again, leads = _same_runs(runs, scratch, name)
+        again, leads = _same_runs(_split(rows, hot, name == "single"), scratch, name)
         found.append(again)
-        scratch.drop(f"runs-{name}")
         if name == "single":
             # equal strings are equal texts by now: nothing is left to sort
             break
         wanted = scratch.table(f"wanted-{name}", leads)
         sorted_ = sorted_.unionByName(wanted.where(~large))
     n_bytes = sorted_.agg(F.sum(F.col("_starts").cast("long") + (LENGTH - 1))).first()[0] or 0
-    segments = _segments(rows, sorted_, max(1, -(-n_bytes // BUCKET_BYTES)))
-    kind = rows.schema["_doc"].dataType.simpleString()
-    found.append(scratch.table("sorted", segments.groupBy("bucket").applyInPandas(_sort_bucket, _RUN.format(key=kind))))
+    segments = []
+    for k in range(DOC_PARTS):
+        own = F.pmod(F.xxhash64("_doc", "_h"), F.lit(DOC_PARTS)) == k
+        segments.append(scratch.table(f"segments-{k}", _segments(rows.where(own), sorted_.where(own), max(1, -(-n_bytes // BUCKET_BYTES)))))
+        scratch.drop()
     scratch.drop(*(f"{x}-{name}" for name in ("finer", "single") for x in ("leads", "kinds")), "wanted", "wanted-finer")
+    kind = rows.schema["_doc"].dataType.simpleString()
+    found.append(scratch.table("sorted", reduce(DataFrame.unionByName, segments).groupBy("bucket").applyInPandas(_sort_bucket, _RUN.format(key=kind))))
+    scratch.drop(*(f"segments-{k}" for k in range(DOC_PARTS)))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -359,8 +386,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = repeated_runs(rows, scratch).groupBy("_doc", "_h").agg(F.collect_list(F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("_starts") + (LENGTH - 1)).alias("b"))).alias("_cuts"))
     found = scratch.table("cuts", found.select(F.col("_doc").alias("_of"), F.col("_h").alias("_oh"), "_cuts"))
     scratch.drop("again-first", "again-finer", "again-single", "sorted")
-    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts", F.lit(False).alias("_extra"))
-    joined = joined.unionByName(extra.select("_doc", "_text", F.lit(None).cast(found.schema["_cuts"].dataType).alias("_cuts"), F.lit(True).alias("_extra")))
+    # texts without cuts need not meet any, and a filter of bounded size spares most of them their shuffle
+    marked = with_maybe(rows, "_h", found, "_oh", "_maybe")
+    joined = marked.where("_maybe").join(found, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_oh")), "left").select("_doc", "_text", "_cuts", F.lit(False).alias("_extra"))
+    none = F.lit(None).cast(found.schema["_cuts"].dataType).alias("_cuts")
+    joined = joined.unionByName(marked.where("not _maybe").select("_doc", "_text", none, F.lit(False).alias("_extra")))
+    joined = joined.unionByName(extra.select("_doc", "_text", none, F.lit(True).alias("_extra")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -191,6 +191,46 @@ def test_op5_matches_brute_force(spark, tmp_path, monkeypatch, many, mean):
     assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
 
 
+def test_op5_moves_a_part_of_the_corpus_at_a_time(spark, tmp_path, monkeypatch):
+    """Runs are joined by parts of their values and texts are cut by parts of the documents, so disk holds a part of them."""
+    joined, cut, join, with_runs = [], [], suffixes.join_by_share, suffixes._with_runs
+
+    def counted_join(left, right, on, *rest):
+        if on == ["value"] and "body" in left.columns:
+            joined.append(left.count())
+        return join(left, right, on, *rest)
+
+    def counted_texts(rows, *rest):
+        cut.append(rows.count())
+        return with_runs(rows, *rest)
+
+    monkeypatch.setattr(suffixes, "join_by_share", counted_join)
+    monkeypatch.setattr(suffixes, "_with_runs", counted_texts)
+    texts = [prose(i % 30, 60) + prose(100 + i, 60) for i in range(60)]
+    folder = folder_of(spark, tmp_path / "d", texts)
+    got = suffixes.op5_suffix_array_dedup(spark, folder).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
+    assert sum(joined) > 500 and max(joined) < sum(joined) / 2
+    assert sum(cut) == len(texts) and max(cut) < len(texts)
+
+
+def test_least_grams_are_counted_in_each_run():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        texts = [bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(0, 300)).astype(np.uint8)) * int(r.integers(0, 3)) for _ in range(5)]
+        offsets = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if len(data) < suffixes.LENGTH:
+            continue
+        grams = suffixes.gram_hashes(data)
+        row, at, starts, _, _, periodic = suffixes.runs_of(data, offsets)
+        assert sum(starts) == sum(max(len(t) - suffixes.LENGTH + 1, 0) for t in texts)
+        for i, first, n, several in zip(row, at + offsets[row], starts, periodic, strict=True):
+            assert offsets[i] <= first and first + n + suffixes.LENGTH - 1 <= offsets[i + 1]
+            within = grams[first : first + n + suffixes.LENGTH - suffixes.GRAM].tolist()
+            assert several == (within.count(min(within)) > 1)
+
+
 # ---- op6 ----
 
 
