@@ -32,18 +32,24 @@ FIELD = "<*>"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-#: Tokens without digits, single spaces between them: such a line is its own mask.
-PLAIN = r"^[^\x09-\x0D\x20 0-9]++(?:\x20[^\x09-\x0D\x20 0-9]++)*+$"
+def _plain(line: Column) -> Column:
+    """Tokens without digits, single spaces between them: such a line is its own mask.
+
+    Told by what it must not have: one class of characters and three comparisons of bytes cost a fifth of a pattern
+    for the whole line.
+    """
+    return ~(line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" "))
 
 
 def masked_line(line: Column) -> Column:
     """Tokens joined by single spaces, those with a digit as FIELD."""
     spaced = F.trim(F.regexp_replace(line, GAP, " "))
-    return F.when(line.rlike(PLAIN), line).otherwise(F.regexp_replace(spaced, "[^ 0-9]*+[0-9][^ ]*+", FIELD))
+    return F.when(_plain(line), line).otherwise(F.regexp_replace(spaced, "[^ 0-9]*+[0-9][^ ]*+", FIELD))
 
 
 def _n_tokens(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    # in bytes, which need no counting
+    return F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
